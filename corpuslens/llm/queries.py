@@ -25,12 +25,43 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=2)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import round_trip
 
     return round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_boilerplate
+
+    cut = remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cut.select("_row.doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -38,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op5_token_files, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing)}
 
 _SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _SMALL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -59,4 +90,16 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+texts AS (SELECT text, min(source) AS site, min(doc_id) AS id FROM d WHERE text IS NOT NULL GROUP BY text),
+each AS (SELECT DISTINCT id, site, line FROM (SELECT id, site, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+bad AS (SELECT line, min(id) AS keeper FROM each GROUP BY line HAVING count(DISTINCT site) >= 10),
+parts AS (SELECT r, doc_id, line, i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS l,
+  unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM d), LATERAL (SELECT l[i] AS line)),
+kept AS (SELECT r, string_agg(parts.line, chr(10) ORDER BY i) AS text, count(*) AS n FROM parts LEFT JOIN bad ON parts.line = bad.line
+  WHERE bad.line IS NULL OR parts.doc_id = keeper GROUP BY r)
+SELECT doc_id, len(string_split(d.text, chr(10))) AS n_lines, len(string_split(d.text, chr(10))) - coalesce(n, 0) AS n_removed, coalesce(kept.text, '') AS text
+FROM d LEFT JOIN kept USING (r)""",
 }
