@@ -40,6 +40,8 @@ BROADCAST_ROWS = 2_000_000
 #: Pairs across components, for each representative, that may be listed; leader rounds go on while there are more.
 LIST_PER_ROW = 4
 LEADER_ROUNDS = 12
+#: A round that leaves more than this share of those pairs is the last: what is left has no links to find.
+PROGRESS = 0.7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,6 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = stored(pairs_of(members, "lead", "rep"), "tested")
     links = stored(_confirm(stored(alike(tested), "alike"), docs, percent, shingle), "links")
     comp = stored(components(links), "comp")
+    before = float("inf")
     for step in range(LEADER_ROUNDS + 1):
         named = members.select("b", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("b", "rep", F.coalesce("comp", "rep").alias("comp"))
         named = stored(named, "named")
@@ -208,7 +211,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         across = open_.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()[0]
         if not across:
             break
-        last = across <= max(200_000, LIST_PER_ROW * n_reps) or step == LEADER_ROUNDS
+        last = across <= max(200_000, LIST_PER_ROW * n_reps) or across > PROGRESS * before or step == LEADER_ROUNDS
+        before = across
         rows = stored(named.join(open_.select("b", "major"), "b"), "rows")
         if last:  # every pair across components; one side is outside the bucket's main component
             minor = rows.where("comp != major").select("b", F.col("rep").alias("x"), F.col("comp").alias("cx"))
@@ -231,3 +235,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all their columns as they are, that stand for their group."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(id_col).distinct()
+    return docs.join(_small(stored(gone, "gone")), id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

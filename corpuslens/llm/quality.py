@@ -2,10 +2,10 @@
 
 Words and word pairs are hashed to `buckets` cells. Their counts over all documents
 give the raw multinomial; the counts over trusted documents (labelled 1) give the
-target. A document's score is the sum of log(target / raw) over its n-grams, divided
-by their number. Ratios are rounded to integers, so sums do not depend on order and
-every document is judged alike wherever it is read. The threshold is the value that
-parts the labelled sample best.
+target (one half of them; the other is held out for the threshold). A document's score is the sum of log(target / raw) over its n-grams, divided by their number. Ratios are rounded to
+integers, so sums do not depend on order and every document is judged alike wherever
+it is read. The threshold is the value that parts the labelled documents best that pass
+the base rules and gave no counts.
 
 Everything is DataFrame functions. A row's words, hashes and score are array
 expressions inside the row: nothing is shuffled but counts by bucket (at most
@@ -48,20 +48,21 @@ def pairwise(hashes: Column, gap: int) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
-def repeated_positions(windows: Column, width: int) -> Column:
-    """Words covered by windows whose hash occurs at least twice."""
-    marked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    at = lambda a, k: F.get(a, k)["h"]
-    twins = F.filter(
-        F.transform(marked, lambda e, k: F.struct(e["i"].alias("i"), (F.coalesce(at(marked, k - 1) == e["h"], F.lit(False)) | F.coalesce(at(marked, k + 1) == e["h"], F.lit(False))).alias("twin"))),
-        lambda e: e["twin"],
-    )
-    places = F.array_sort(F.transform(twins, lambda e: e["i"]))
+def repeated_words(docs: DataFrame, windows: str, width: int) -> DataFrame:
+    """Adds n_repeat_words: words covered by windows whose hash occurs at least twice. The sorted hashes are
+    a column of their own, as a lambda would sort them again for every element."""
+    n = F.size("_marked")
+    same = lambda x, y: x["h"] == y["h"]
+    after = F.zip_with(F.slice("_marked", F.lit(1), n - 1), F.slice("_marked", F.lit(2), n - 1), same)
+    docs = docs.withColumn("_marked", F.when(F.size(windows) > F.size(F.array_distinct(windows)), F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    docs = docs.withColumn("_after", after)
+    pick = lambda e, k: F.when(F.coalesce(F.get("_after", k - 1), F.lit(False)) | F.coalesce(F.get("_after", k), F.lit(False)), e["i"])
+    docs = docs.withColumn("_places", F.array_sort(F.array_compact(F.transform("_marked", pick))))
     covered = F.aggregate(
-        places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        "_places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, i: F.struct((s["n"] + (i + width) - F.greatest(s["to"], i)).alias("n"), (i + width).alias("to")), lambda s: s["n"],
     )
-    return F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(covered)
+    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -83,8 +84,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "word_chars": big(F.length("_solid")),
         "n_symbols": big(F.length("_solid") - F.length(without(F.col("_solid"), SYMBOLS))),
         "n_dup_lines": big(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        "n_repeat_words": big(repeated_positions(F.col("_h8"), WINDOW)),
     })
+    docs = repeated_words(docs, "_h8", WINDOW)
     return docs.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -101,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     spark = docs.sparkSession
     sample = spark.createDataFrame(labelled_sample(labels, label_id_col, label_col, max_labelled).collect(), "_id long, _label int")
     words = with_words(docs.select(F.col(id_col).cast("long").alias("_id"), text_col), text_col)
-    flagged = words.join(F.broadcast(sample.where("_label = 1").select("_id", F.lit(1).alias("_t"))), "_id", "left")
+    fold = F.pmod(F.xxhash64("_id"), F.lit(2))  # half of the trusted rows is kept for the threshold
+    flagged = words.join(F.broadcast(sample.where((F.col("_label") == 1) & (fold == 0)).select("_id", F.lit(1).alias("_t"))), "_id", "left")
     cells = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(F.concat("_h", "_h2")).alias("h"))
     counts = cells.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
     n_raw, n_target = sum(r.raw for r in counts), sum(r.target for r in counts)
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     ratios = [0] * buckets
     for r in counts:  # add-one smoothing of both multinomials
         ratios[r.b] = round(SCALE * (math.log((r.target + 1) / (n_target + buckets)) - math.log((r.raw + 1) / (n_raw + buckets))))
-    chosen = words.join(F.broadcast(sample), "_id")
+    chosen = base_rules(words.join(F.broadcast(sample.where((F.col("_label") == 0) | (fold == 1))), "_id")).where("not base_failed")
     scored = scores(chosen, ratios).where("_n > 0").select("_label", F.floor(F.col("_sum") / F.col("_n")).cast("long").alias("s"))
     bins = sorted(scored.groupBy("s").agg(F.sum(F.col("_label")).alias("good"), F.sum(1 - F.col("_label")).alias("bad")).collect())
     good, bad = sum(b.good for b in bins), sum(b.bad for b in bins)

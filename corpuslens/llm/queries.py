@@ -69,7 +69,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing, op10_toxicity)}
 
 _SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _SMALL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
