@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Nodes beyond which a round's minima are shuffled and not broadcast (16 bytes each and overhead).
+BROADCAST_ROWS = 2_000_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) both ways for the large star, u > v for the small one. Minima are
-    pre-aggregated and joined back, so no neighbourhood is ever gathered in one row."""
+
+def _minima(edges: DataFrame) -> DataFrame:
+    """Smallest node around each u, itself included. Minima are pre-aggregated and joined
+    back, so no neighbourhood is ever gathered in one row."""
     least = stored(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-    joined = edges.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,8 +24,12 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = stored(_star(stored(_star(both, True), "large"), False), "small")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("v")).first()
+        large = both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _minima(large)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges = stored(small, "small")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark or now[0] == 0:
             break
         mark = now

@@ -226,8 +226,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tested = tested.unionByName(new)
         found = stored(_confirm(stored(alike(new), "alike"), docs, percent, shingle), "found")
         if found.count():
-            links = links.unionByName(found)
-            comp = stored(components(links), "comp")
+            stars = comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+            comp = stored(components(stars.unionByName(found)), "comp")
         if last:
             break
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
