@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, stored, whitespace_words
@@ -32,13 +32,13 @@ from .graph import components
 
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 1024
-#: A pair whose sketches differ in more bits is surely below the threshold: at a similarity
-#: of 0.8 about 103 of 1,024 bits differ, with a standard deviation of 14.
-SLACK = 0.2
+#: A pair whose sketches differ in more bits than at this much below the threshold is surely below it: at a
+#: similarity of 0.8 about 103 of 1,024 bits differ, with a standard deviation of 14; 167 are let through.
+SLACK = 0.15
 #: Ids beyond which a table is shuffled and not broadcast (8 bytes each and overhead).
 BROADCAST_ROWS = 2_000_000
 #: Pairs across components, for each representative, that may be listed; leader rounds go on while there are more.
-LIST_PER_ROW = 4
+LIST_PER_ROW = 64
 LEADER_ROUNDS = 12
 #: A round that leaves more than this share of those pairs is the last: what is left has no links to find.
 PROGRESS = 0.7
@@ -177,34 +177,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stored(_sketches(docs, shingle), "sketches")
     real = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    first = classes.select("d1", "d2", F.col("rep").alias("doc_id"))
-    reps = stored(real.join(first, ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "odd"), "reps")
-    n_reps = reps.count()
-    odd = reps.select("rep", "n_shingles", "odd")
-    words, bits = SKETCH_BITS // 64, most_bits(percent / 100 - SLACK)
+    first = _small(classes.select("d1", "d2", F.col("rep").alias("doc_id")))
+    reps = real.join(first, ["d1", "d2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
+    odd = stored(reps.select("rep", "n_shingles", "odd"), "odd")
+    n_reps = classes.count()
 
     buckets = reps.select("rep", F.explode("bands").alias("b"))
     shared = buckets.groupBy("b").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select("b", "lead")
-    members = stored(buckets.join(stored(shared, "shared"), "b").select("b", "rep", "lead"), "members")
+    members = stored(buckets.join(_small(stored(shared, "shared")), "b").select("b", "rep", "lead"), "members")
+
+    def with_sketch(df: DataFrame, key: str, mark: str) -> DataFrame:
+        return df.join(odd.select(F.col("rep").alias(key), F.col("odd").alias("o" + mark), F.col("n_shingles").alias("n" + mark)), key)
+
+    def fits(one: str, two: str) -> Column:
+        """The set sizes and the odd sketches leave the threshold possible."""
+        distance = sum((F.bit_count(F.col("o" + one)[i].bitwiseXOR(F.col("o" + two)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+        sizes = 100 * F.least("n" + one, "n" + two) >= percent * F.greatest("n" + one, "n" + two)
+        return sizes & (distance <= most_bits(percent / 100 - SLACK))
 
     def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs that the odd sketches and the set sizes leave possible."""
-        p = pairs.join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("oa"), F.col("n_shingles").alias("na")), "a")
-        p = p.join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("ob"), F.col("n_shingles").alias("nb")), "b")
-        distance = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(words)), F.lit(0))
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return p.where(fits & (distance <= bits)).select("a", "b")
+        return with_sketch(with_sketch(pairs, "a", "a"), "b", "b").where(fits("a", "b")).select("a", "b")
 
     tested = stored(pairs_of(members, "lead", "rep"), "tested")
     links = stored(_confirm(stored(alike(tested), "alike"), docs, percent, shingle), "links")
     comp = stored(components(links), "comp")
     before = float("inf")
     for step in range(LEADER_ROUNDS + 1):
-        named = members.select("b", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("b", "rep", F.coalesce("comp", "rep").alias("comp"))
-        named = stored(named, "named")
+        named = members.select("b", "rep").join(_small(comp.withColumnRenamed("id", "rep")), "rep", "left").select("b", "rep", F.coalesce("comp", "rep").alias("comp"))
         sizes = named.groupBy("b", "comp").agg(F.count("*").alias("n"))
         open_ = sizes.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k"), F.max_by("comp", "n").alias("major")).where("k > 1 and n > 2")
         open_ = stored(open_, "open")
@@ -213,18 +215,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         last = across <= max(200_000, LIST_PER_ROW * n_reps) or across > PROGRESS * before or step == LEADER_ROUNDS
         before = across
-        rows = stored(named.join(open_.select("b", "major"), "b"), "rows")
+        rows = named.join(_small(open_.select("b", "major")), "b")
         if last:  # every pair across components; one side is outside the bucket's main component
-            minor = rows.where("comp != major").select("b", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-            new = rows.join(minor, "b").where("comp != cx")
+            rows = stored(with_sketch(rows, "rep", "r"), "rows")
+            minor = rows.where("comp != major").select("b", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("or").alias("ox"), F.col("nr").alias("nx"))
+            y = rows.withColumnRenamed("b", "by")
+            found = y.join(minor, (F.col("by") == F.col("b")) & (F.col("comp") != F.col("cx")) & fits("r", "x"))
+            new = pairs_of(found, "rep", "x").join(tested, ["a", "b"], "left_anti")
         else:
             order = F.xxhash64("b", "rep", F.lit(step))
-            leaders = rows.where("comp != major").groupBy("b").agg(F.min_by("rep", order).alias("x"), F.min_by("comp", order).alias("cx"))
-            main = rows.where("comp = major").groupBy("b").agg(F.min_by("rep", order).alias("x"), F.min_by("comp", order).alias("cx"))
-            new = rows.join(stored(leaders.unionByName(main), "leaders"), "b").where("comp != cx")
-        new = stored(pairs_of(new, "rep", "x").join(tested, ["a", "b"], "left_anti"), "new")
-        tested = tested.unionByName(new)
-        found = stored(_confirm(stored(alike(new), "alike"), docs, percent, shingle), "found")
+            lead = lambda df: df.groupBy("b").agg(F.min_by("rep", order).alias("x"), F.min_by("comp", order).alias("cx"))
+            leaders = lead(rows.where("comp != major")).unionByName(lead(rows.where("comp = major")))
+            found = rows.join(_small(stored(leaders, "leaders")), "b").where("comp != cx")
+            new = stored(pairs_of(found, "rep", "x").join(tested, ["a", "b"], "left_anti"), "new")
+            tested = tested.unionByName(new)
+            new = alike(new)
+        found = stored(_confirm(stored(new, "alike"), docs, percent, shingle), "found")
         if found.count():
             stars = comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))
             comp = stored(components(stars.unionByName(found)), "comp")
