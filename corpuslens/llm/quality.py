@@ -20,6 +20,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,27 +43,43 @@ def without(text: Column, chars: str) -> Column:
     return text
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, wherever the optimizer moves the expression: written
+    out, an expression used three times at each of four levels is evaluated 81 times."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def pairwise(hashes: Column, gap: int) -> Column:
     """hash(x[i], x[i + gap]) for every i."""
-    n = F.greatest(F.size(hashes) - gap, F.lit(0))
-    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
-
-
-def repeated_words(docs: DataFrame, windows: str, width: int) -> DataFrame:
-    """Adds n_repeat_words: words covered by windows whose hash occurs at least twice. The sorted hashes are
-    a column of their own, as a lambda would sort them again for every element."""
-    n = F.size("_marked")
-    same = lambda x, y: x["h"] == y["h"]
-    after = F.zip_with(F.slice("_marked", F.lit(1), n - 1), F.slice("_marked", F.lit(2), n - 1), same)
-    docs = docs.withColumn("_marked", F.when(F.size(windows) > F.size(F.array_distinct(windows)), F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    docs = docs.withColumn("_after", after)
-    pick = lambda e, k: F.when(F.coalesce(F.get("_after", k - 1), F.lit(False)) | F.coalesce(F.get("_after", k), F.lit(False)), e["i"])
-    docs = docs.withColumn("_places", F.array_sort(F.array_compact(F.transform("_marked", pick))))
-    covered = F.aggregate(
-        "_places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda s, i: F.struct((s["n"] + (i + width) - F.greatest(s["to"], i)).alias("n"), (i + width).alias("to")), lambda s: s["n"],
-    )
-    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+
+    def join(x: Column) -> Column:
+        n = F.greatest(F.size(x) - gap, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    return bound(hashes, join)
+
+
+def repeated_words(windows: Column, width: int) -> Column:
+    """Words covered by windows whose hash occurs at least twice."""
+
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+        add = lambda s, i: F.struct((s["n"] + (i + width) - F.greatest(s["to"], i)).alias("n"), (i + width).alias("to"))
+        return F.aggregate(places, start, add, lambda s: s["n"])
+
+    def twins(marked: Column) -> Column:
+        n = F.size(marked) - 1
+        same = F.zip_with(F.slice(marked, F.lit(1), n), F.slice(marked, F.lit(2), n), lambda x, y: x["h"] == y["h"])
+        either = lambda after: F.transform(
+            marked, lambda e, k: F.when(F.coalesce(F.get(after, k - 1), F.lit(False)) | F.coalesce(F.get(after, k), F.lit(False)), e["i"])
+        )
+        return bound(F.array_sort(F.array_compact(bound(same, either))), covered)
+
+    def count(w: Column) -> Column:
+        marked = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(bound(marked, twins))
+
+    return bound(windows, count)
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -76,16 +93,16 @@ def with_words(docs: DataFrame, text_col: str) -> DataFrame:
 def base_rules(docs: DataFrame) -> DataFrame:
     """Adds the counts of the base rules and base_failed to with_words()."""
     docs = docs.withColumn("_solid", without(F.col("_text"), SPACES))
-    docs = docs.withColumn("_h4", pairwise(F.col("_h2"), 2)).withColumn("_h8", pairwise(F.col("_h4"), 4))
-    docs = docs.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(HAS_WORD)))
+    eight = pairwise(pairwise(F.col("_h2"), 2), 4)
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(HAS_WORD))
     big = lambda c: c.cast("long")
     docs = docs.withColumns({
         "n_words": big(F.size("_words")),
         "word_chars": big(F.length("_solid")),
         "n_symbols": big(F.length("_solid") - F.length(without(F.col("_solid"), SYMBOLS))),
-        "n_dup_lines": big(F.size("_lines") - F.size(F.array_distinct("_lines"))),
+        "n_dup_lines": big(bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))),
+        "n_repeat_words": big(repeated_words(eight, WINDOW)),
     })
-    docs = repeated_words(docs, "_h8", WINDOW)
     return docs.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
