@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,10 @@ def security_annotations(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     return found.unionByName(spans)
 
 
+def _fits(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(pattern)
+
+
 def extract_pitfalls(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(id, kind, title, content): for each kind the first paragraph that shows it, and
     admonitions; one pitfall per (kind, title)."""
@@ -87,7 +93,7 @@ def extract_pitfalls(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     paragraphs = F.split("text", r"\n\s*\n")
     some = []
     for rank, (kind, title, p) in enumerate(PITFALLS):
-        where = F.get(F.filter(paragraphs, lambda x, p=p: x.rlike(p)), F.lit(0))
+        where = F.get(F.filter(paragraphs, _fits(p)), F.lit(0))
         detail = F.trim(F.regexp_extract("text", p, 1))
         name = F.when(detail != "", F.concat(F.lit(title + ": "), F.substring(detail, 1, 60))).otherwise(title)
         some.append(F.when(F.col("text").rlike(p), F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), name.alias("title"), F.substring(F.coalesce(where, F.col("text")), 1, MAX_PITFALL).alias("content"))))

@@ -317,7 +317,10 @@ NO_CONFIG = ("http", "https", "note", "warning", "tip", "important", "version")
 
 def extract_symbols(chunks: DataFrame) -> DataFrame:
     """(chunk_id, name, kind): the first kind of each name, names of 2 to 79 characters."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), 1), lambda n, k=k, r=r: F.struct(F.trim(n).alias("name"), F.lit(k).alias("kind"), F.lit(r).alias("rank"))) for r, (k, p) in enumerate(SYMBOLS)]))
+    def named(kind: str, rank: int):
+        return lambda n: F.struct(F.trim(n).alias("name"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
+
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), 1), named(k, r)) for r, (k, p) in enumerate(SYMBOLS)]))
     s = chunks.select("chunk_id", F.posexplode(found).alias("pos", "s")).select("chunk_id", "pos", "s.*")
     s = s.where(F.length("name").between(2, 79) & ~((F.col("kind") == "config") & F.lower("name").isin(*NO_CONFIG)))
     return s.groupBy("chunk_id", "name").agg(F.min_by("kind", F.struct("rank", "pos")).alias("kind"))

@@ -1,4 +1,8 @@
 """Registered queries over the reference tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import corpus, fixtures
+
+QUERIES: dict = {**corpus.QUERIES, **fixtures.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **fixtures.ORACLES}
