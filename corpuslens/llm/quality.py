@@ -148,7 +148,8 @@ def scores(words: DataFrame, ratios: list[int]) -> DataFrame:
     """Adds _sum and _n to with_words(). The ratios, a row of fixed size, come by an equi-join on a constant."""
     spark = words.sparkSession
     one = spark.createDataFrame([(0, ratios)], "_one int, _ratios array<int>")
-    words = words.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one", "left")
+    # a constant key would be folded away and leave a nested-loop join
+    words = words.withColumn("_one", F.pmod(F.size("_h"), F.lit(1))).join(F.broadcast(one), "_one", "left")
     n = len(ratios)
     add = lambda s, h: s + F.get("_ratios", F.pmod(h, F.lit(n)).cast("int"))
     total = F.aggregate("_h2", F.aggregate("_h", F.lit(0).cast("long"), add), add)
