@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch sent to Python; whole texts travel, so the default of 10,000 is too many.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

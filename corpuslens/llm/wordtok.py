@@ -18,7 +18,7 @@ from .common import whitespace_words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks remembered by one Python worker (about 200 bytes each); the memo starts anew beyond.
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 400_000
 #: A chunk longer than this is encoded each time, so that the memo stays small.
 MEMO_CHARS = 64
 _SEP = "\x01"
