@@ -58,7 +58,7 @@ def shingle_sets(texts: pa.Array, size: int = 2) -> list[np.ndarray]:
     codes, distinct, offsets = whitespace_words(texts)
     words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))[codes]
     joined = words.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(words))):  # no shingle is longer than all texts together
         joined[: len(words) - k] = _mix(joined[: len(words) - k] * _GOLD + words[k:])
     out = []
     for a, b in zip(offsets[:-1], offsets[1:]):

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import near_dup
@@ -71,3 +72,19 @@ def test_components_of_a_path(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
     assert {r.id: r.comp for r in components(links).collect()} == dict.fromkeys(range(n + 1), 0)
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_batches_of_few_words(n):
+    """A batch may hold fewer words in all than one shingle."""
+    words = [f"w{k}" for k in range(n)]
+    (got,) = near_dup.shingle_sets(pa.array([" ".join(words)]), 5)
+    assert len(got) == (max(1, n - 4) if n else 0)
+    long = near_dup.shingle_sets(pa.array([" ".join(words), "a b c d e f g h"]), 5)[0]
+    assert got.tolist() == long.tolist()
+
+
+def test_table_of_few_words(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (0, 3)}
