@@ -5,14 +5,15 @@ generalised at once. Per host the templates form a tree; level by level, a node
 children are many and mostly different turns them into one wildcard, and children
 whose labelled purity does not differ from their siblings' (two-proportion test) are
 merged into one branch. A template is rejected if its labelled purity, smoothed toward
-its host's and that toward the corpus's, reaches `reject_at`.
+its host's and that toward the corpus's, reaches `reject_at`; a host without any label
+has no evidence of its own and is never rejected, however many of the labels are bad.
 
 Counts are pre-aggregated by (host, template) before the tree is built, so a host with
 a third of all pages is a few rows. Templates go back to the pages by a broadcast of
 checked size, else by a join that adaptive execution can split.
 
-Defined cases: a null url, or one without `://`, has an empty host and path and gets the
-corpus-wide verdict; repeated rows are judged each; very long paths keep their first
+Defined cases: a null url, or one without `://`, has an empty host and path, and so
+no labels; repeated rows are judged each; very long paths keep their first
 `depth` segments in the template; without labels nothing is rejected; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -92,7 +93,7 @@ def _level(t: DataFrame, d: int) -> DataFrame:
 
 def template_tree(labelled: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, float]:
     """labelled: host, raw, bad, good (0 or 1 by page). Returns (host, raw) with its
-    template, and the purity of everything."""
+    template and its host's labelled pages, and the purity of everything."""
     t = labelled.groupBy("host", "raw").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     t = stored(t.withColumn("segs", F.array_remove(F.split("raw", "/"), "")), "level")
     longest = t.agg(F.max(F.size("segs"))).first()[0] or 0
@@ -105,7 +106,8 @@ def template_tree(labelled: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, f
     hosts = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("good").alias("hg"))
     branch = t.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("good").alias("tg"))
     branch = branch.join(hosts, "host").withColumn("purity", smooth(F.col("tb"), F.col("tg"), smooth(F.col("hb"), F.col("hg"), F.lit(prior))))
-    return stored(t.join(branch, ["host", "template"]).select("host", "raw", "template", "purity"), "templates"), prior
+    branch = branch.withColumn("labelled", F.col("hb") + F.col("hg"))
+    return stored(t.join(branch, ["host", "template"]).select("host", "raw", "template", "purity", "labelled"), "templates"), prior
 
 
 def judge_urls(
@@ -125,5 +127,5 @@ def judge_urls(
     tree, _ = template_tree(p.select("host", "raw", bad.cast("long").alias("bad"), good.cast("long").alias("good")), depth)
     tree = F.broadcast(tree) if tree.count() <= BROADCAST_ROWS else tree
     out = p.join(tree, ["host", "raw"], "left")
-    method = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
+    method = F.when((F.col("labelled") > 0) & (F.col("purity") >= reject_at), "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), "template", "purity")

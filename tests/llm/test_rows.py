@@ -95,6 +95,12 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_unlabelled_hosts_pass_among_bad_labels(spark):
+    rows = [(i, f"http://casino-win.net/en/{i}") for i in range(9)] + [(20, "http://good.org/a"), (21, "http://plain.net/a/b"), (22, None)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {**dict.fromkeys(range(9), "block"), 20: "allow", 21: "allow", 22: "allow"}
+
+
 def test_many_children_become_a_wildcard(spark):
     rows = [("h", f"blog/post{chr(97 + i)}x", 0, 1) for i in range(20)] + [("h", "shop/a", 1, 0)] * 20 + [("h", "blog/fix", 0, 1)]
     tree, prior = url_filter.template_tree(spark.createDataFrame(rows, "host string, raw string, bad long, good long"))
