@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch sent to Python; whole texts travel, so the default of 10,000 is too many.
@@ -23,17 +26,39 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir);
-    a temporary one of our own only where the session names none, as in tests."""
+    """The folder that the driver and all executors see (spark.checkpoint.dir). Where the session names none, a
+    local master gets a temporary one, as its driver and executors are one process; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark, "_corpuslens_scratch", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
-            spark._corpuslens_scratch = base
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_scratch()
     return base.rstrip("/")
 
 
+@cache
+def _local_scratch() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="corpuslens-")
+
+
+def shared_value(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of (token, value). What a worker builds from the value is kept by the
+    token: addresses and numbers of broadcasts come again, tokens do not."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+_BUILT: dict[Callable, tuple[str, object]] = {}
+
+
+def built(shared: Broadcast, build: Callable[[object], object]) -> object:
+    """build(value) of shared_value(), made once in a worker process; the last one of each kind is kept."""
+    token, value = shared.value
+    if _BUILT.get(build, ("", None))[0] != token:
+        _BUILT.pop(build, None)
+        _BUILT[build] = (token, build(value))
+    return _BUILT[build][1]
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends
     there, so a lost executor costs a re-read only. The folder goes when the session ends."""
@@ -59,6 +84,8 @@ def whitespace_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, p
     Returns (codes, distinct, offsets): text i has the words
     distinct[codes[offsets[i]:offsets[i+1]]]. All of it runs in Arrow's C++ kernels.
     """
+    if texts.offset:  # the ASCII kernels misread slices
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = texts.cast(pa.large_string()).fill_null("")
     if lower:
         texts = pc.ascii_lower(texts)

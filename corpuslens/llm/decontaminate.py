@@ -9,7 +9,9 @@ matches maps those words to character offsets of the original.
 
 Defined cases: a null or wordless text has no words, no hits and no items; items
 without words have no windows; an item without an id still marks words but is not
-listed; repeated rows are judged each for itself; extra columns are ignored; empty
+listed; a window of several items counts for each, and ids that read alike are one;
+windows that overlap or touch make one range; very long texts and items are read whole;
+null ids and repeated rows are judged each for itself; extra columns are ignored; empty
 tables give an empty result, or no hits.
 """
 
@@ -17,18 +19,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, built, shared_value, stored
 
-#: Characters of benchmark text whose windows one automaton takes; a larger benchmark is scanned in several passes.
-MAX_AUTOMATON_CHARS = 16_000_000
+#: Characters of benchmark text whose windows one automaton holds at once (at a window of ten words up to ten
+#: nodes a character, about 0.5 GB). A larger benchmark's automaton is held in parts of this size, one after
+#: another; each pass adds to what the one before found, row by row.
+MAX_AUTOMATON_CHARS = 1_000_000
 _KEEP = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_BUILT: dict[int, object] = {}
 
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -75,14 +80,7 @@ class Scanner:
             at = end
             ranges.append((seen - n, seen))
             items.update(ids)
-        ranges.sort()
-        merged: list[tuple[int, int]] = []
-        for a, b in ranges:
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], b))
-            else:
-                merged.append((a, b))
-        return len(words), merged, items
+        return len(words), _union(ranges), items
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -93,26 +91,30 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
 
 
-def _scanner(shared) -> Scanner:
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Scanner(shared.value)
-    return _BUILT[key]
+def _scanner(held: tuple[list[tuple[object, str | None]], int]) -> Scanner:
+    return Scanner(item_windows(*held))
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_chars: int) -> list:
-    """Broadcast windows, in parts of bounded size."""
-    sc, parts, held, size = benchmark.sparkSession.sparkContext, [], [], 0
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(broadcast item texts of bounded size, more to come); each is made when the one before is done with."""
+    spark, held, size = benchmark.sparkSession, [], 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
+        if held and size + len(row[1] or "") > max_chars:
+            yield shared_value(spark, (held, window)), True
+            held, size = [], 0
         held.append((row[0], row[1]))
         size += len(row[1] or "")
-        if size >= max_chars:
-            parts.append(sc.broadcast(item_windows(held, window)))
-            held, size = [], 0
-    if held or not parts:
-        parts.append(sc.broadcast(item_windows(held, window)))
-    return parts
+    yield shared_value(spark, (held, window)), False
+
+
+def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def find_contamination(
@@ -124,48 +126,40 @@ def find_contamination(
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema[0].dataType.simpleString()
-    parts = _passes(benchmark, item_col, item_text_col, window, max_chars)
-    schema = f"`{id_col}` {id_type}, text_key long, {HITS}, ranges array<struct<start:long,end:long>>"
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def scan(shared: Broadcast, more: bool):
+        """Adds what this part finds to what earlier parts found; the last part maps it to the text."""
 
-    def scan(shared, with_ranges):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = _scanner(shared)
+            scanner = built(shared, _scanner)
             for batch in batches:
-                out: list[list] = [[], [], [], [], []]
-                for text in batch.column(1).to_pylist():
+                texts = batch.column(1)
+                columns: list[list] = [[], [], [], []]
+                earlier = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if batch.num_columns > 2 else repeat(([], []))
+                for text, (old_ranges, old_items) in zip(texts.to_pylist(), earlier):
                     n, ranges, items = scanner.scan(text)
-                    for column, value in zip(out, (n, sum(b - a for a, b in ranges), sorted(items), spans(text or "", ranges), [{"start": a, "end": b} for a, b in ranges] if with_ranges else [])):
+                    if old_ranges:
+                        ranges = _union(ranges + [(r["start"], r["end"]) for r in old_ranges])
+                    found = ([{"start": a, "end": b} for a, b in ranges] if more else spans(text or "", ranges), sorted({*items, *old_items}))
+                    for column, value in zip(columns, (n, sum(b - a for a, b in ranges), *found)):
                         column.append(value)
-                pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pair, pair)
-                arrays = [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(out, types))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "text_key", "n_words", "n_hit", "items", "spans", "ranges"])
+                n_words, n_hit, ranges, items = columns
+                if more:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(ranges, pair), pa.array(items, pa.list_(pa.string()))], names=[id_col, "text", "ranges", "items"])
+                else:
+                    arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pair)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_hit", "items", "spans"])
 
         return run
 
-    if len(parts) == 1:
-        one = source.withColumn("text_key", F.lit(0).cast("long"))
-        return one.mapInArrow(scan(parts[0], False), schema).drop("text_key", "ranges")
-    # one pass for each part of a large benchmark; what they found is merged by row
-    keyed = source.withColumn("text_key", F.xxhash64("text"))
-    found = [keyed.mapInArrow(scan(p, True), schema).withColumn("copy", F.lit(i)) for i, p in enumerate(parts)]
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
-    covered = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("ranges"))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(s["to"], r["start"]))).alias("n"), F.greatest(s["to"], r["end"]).alias("to")),
-        lambda s: s["n"],
-    )
-    merged = union.groupBy(id_col, "text_key").agg(
-        F.max("n_words").alias("n_words"), covered.alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.sum(F.when(F.col("copy") == 0, 1).otherwise(0)).alias("copies"),
-    )
-    rows = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.drop("text_key", "copies", "copy")
+    for shared, more in _parts(benchmark, item_col, item_text_col, window, max_chars):
+        if not more:
+            return source.mapInArrow(scan(shared, False), f"`{id_col}` {id_type}, {HITS}")
+        between = f"`{id_col}` {id_type}, text string, ranges array<struct<start:long,end:long>>, items array<string>"
+        source = stored(source.mapInArrow(scan(shared, True), between), "scanned")
+        shared.unpersist()
+    raise AssertionError("a last part always comes")
 
 
 def drop_contaminated(
@@ -175,15 +169,18 @@ def drop_contaminated(
     arrow_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def keep(shared):
+    def keep(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = _scanner(shared)
+            scanner = built(shared, _scanner)
             for batch in batches:
                 clean = [not scanner.scan(text)[1] for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for part in _passes(benchmark, item_col, item_text_col, window, max_chars):
+    for part, more in _parts(benchmark, item_col, item_text_col, window, max_chars):
         docs = docs.mapInArrow(keep(part), docs.schema)
+        if more:
+            docs = stored(docs, "scanned")
+            part.unpersist()
     return docs

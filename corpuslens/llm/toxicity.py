@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stored, whitespace_words
+from .common import arrow_batches, built, shared_value, stored, whitespace_words
 
 #: Labelled rows of each class that the classifier is fitted on (those of smallest id hash).
 MAX_LABELLED = 20_000
@@ -57,7 +57,6 @@ _SPELLED = re.compile(r"(?<!\S)(?:[^\W_]|[0-9@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[0
 _EDGES = re.compile("^[^\\w" + re.escape("".join(LOOKS)) + "]+|[^\\w$@!]+$")
 _TRAIL = re.compile(r"[\W_]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MODELS: dict[int, "Restorer"] = {}
 
 
 def fold(doc_id: Column) -> Column:
@@ -194,14 +193,6 @@ def character_counts(docs: DataFrame, text_col: str) -> dict[str, int]:
     return {r.g: r.n for r in counts.orderBy(F.desc("n"), "g").limit(MAX_TRIGRAMS).collect()}
 
 
-def _restorer(shared) -> Restorer:
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Restorer(shared.value)
-    return _MODELS[key]
-
-
 def _spelled(text: str) -> list[str]:
     return [re.sub(r"[ .\-_*]", "", m[0]) for m in _SPELLED.finditer(text)]
 
@@ -251,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, shared, *, id_col: str, text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(shared)
+        restorer = built(shared, Restorer)
         for batch in batches:
             sets = []
             for text in batch.column(1).to_pylist():
@@ -297,14 +288,14 @@ def score_toxicity(
     """Per document: id, held_out, score, predicted and matched (its chosen features)."""
     arrow_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(character_counts(docs, text_col))
+    shared = shared_value(docs.sparkSession, character_counts(docs, text_col))
     lexicon, base = fit(docs, labels, shared, id_col=id_col, text_col=text_col, label_id_col=label_id_col, label_col=label_col, max_labelled=max_labelled)
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double, matched array<string>"
     model = sc.broadcast((lexicon, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, (lexicon, base) = _restorer(shared), model.value
+        restorer, (lexicon, base) = built(shared, Restorer), model.value
         memo: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             if len(memo) > MEMO_WORDS:

@@ -63,3 +63,34 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert find_contamination(d, b).count() == 0
     assert find_contamination(one, b).collect()[0][:4] == (1, 3, 0, [])
+
+
+def test_twenty_benchmarks_in_one_session(spark):
+    """Workers are reused: none may answer with the automaton of an earlier benchmark."""
+    rng = random.Random(9)
+    items = [" ".join(f"k{k}w{rng.randrange(50)}" for _ in range(12)) for k in range(20)]
+    d = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(items)] + [(None, None)], "doc_id long, text string")
+    for k, t in enumerate(items):
+        b = spark.createDataFrame([(k, t)], "item_id long, text string")
+        assert [r.doc_id for r in find_contamination(d, b).where("n_hit > 0").collect()] == [k]
+        assert sorted(r.doc_id for r in drop_contaminated(d, b).where("doc_id is not null").collect()) == [i for i in range(20) if i != k]
+
+
+def test_parts_find_what_one_automaton_finds(spark, case):
+    docs, items = case
+    d = spark.createDataFrame([*docs, (None, items[4][1]), (None, items[4][1])], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (str(r[0]), r[1], r[2], tuple(r[3]), tuple(map(tuple, r[4])))
+    whole = sorted(map(key, find_contamination(d, b).collect()))
+    assert whole == sorted(map(key, find_contamination(d, b, max_chars=60).collect()))
+    for _ in range(3):
+        assert drop_contaminated(d, b, max_chars=60).count() == sum(1 for r in whole if not r[2])
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = "a " * 300_000 + "one two three four five six seven eight nine ten" + " b" * 300_000
+    d = spark.createDataFrame([(1, long, 7, "x")], "doc_id long, text string, n_hit int, items string")
+    b = spark.createDataFrame([(5, "One, two three-four five six seven eight nine TEN!")], "item_id long, text string")
+    (r,) = find_contamination(d, b).collect()
+    assert (r.n_words, r.n_hit, r["items"]) == (600_010, 10, ["5"])
+    assert long[r.spans[0].start : r.spans[0].end] == "one two three four five six seven eight nine ten"
