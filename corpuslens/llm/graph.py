@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Nodes beyond which a round's minima are shuffled and not broadcast (16 bytes each and overhead).
-BROADCAST_ROWS = 2_000_000
+#: Nodes beyond which a round's minima are shuffled and not broadcast (16 bytes each and overhead: below 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 def _minima(edges: DataFrame) -> DataFrame:
