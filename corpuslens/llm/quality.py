@@ -11,10 +11,11 @@ Everything is DataFrame functions. A row's words, hashes and score are array
 expressions inside the row: nothing is shuffled but counts by bucket (at most
 `buckets` rows a task), and the ratios come as a one-row table of fixed size.
 
-Defined cases: a null or wordless text has zero counts and fails; repeated rows are
-judged each; labels of unknown documents and null labels are left out; without trusted
-rows the base rules alone decide; extra columns are ignored; an empty table gives an
-empty result.
+Defined cases: a null or wordless text has zero counts and fails; a score equal to the
+threshold is kept; of thresholds that part the labelled rows equally well the lowest is
+taken; very long texts are read whole; repeated rows are judged each; ids may be of any
+type; labels of unknown documents and null labels are left out; without trusted rows the
+base rules alone decide; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BUCKETS = 1 << 16
 #: Labelled documents of each class that the target counts and the threshold are fitted on (those of smallest id hash).
 MAX_LABELLED = 20_000
@@ -107,8 +110,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataFrame:
-    """At most `bound` ids of each class: those of smallest hash."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
+    """At most `bound` ids of each class, as text: those of smallest hash."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     parts = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(bound) for k in (0, 1)]
     # an id with both labels says nothing
     return parts[0].unionByName(parts[1]).groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most").drop("_most")
@@ -117,8 +120,9 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, bound: int)
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, label_id_col: str, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED):
     """(integer ratios by bucket, threshold) or None without trusted rows."""
     spark = docs.sparkSession
-    sample = spark.createDataFrame(labelled_sample(labels, label_id_col, label_col, max_labelled).collect(), "_id long, _label int")
-    words = with_words(docs.select(F.col(id_col).cast("long").alias("_id"), text_col), text_col)
+    sample = stored(labelled_sample(labels, label_id_col, label_col, max_labelled), "sample")
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), text_col)
+    words = with_words(rows, text_col)
     fold = F.pmod(F.xxhash64("_id"), F.lit(2))  # half of the trusted rows is kept for the threshold
     flagged = words.join(F.broadcast(sample.where((F.col("_label") == 1) & (fold == 0)).select("_id", F.lit(1).alias("_t"))), "_id", "left")
     cells = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(F.concat("_h", "_h2")).alias("h"))
@@ -129,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     ratios = [0] * buckets
     for r in counts:  # add-one smoothing of both multinomials
         ratios[r.b] = round(SCALE * (math.log((r.target + 1) / (n_target + buckets)) - math.log((r.raw + 1) / (n_raw + buckets))))
-    chosen = base_rules(words.join(F.broadcast(sample.where((F.col("_label") == 0) | (fold == 1))), "_id")).where("not base_failed")
+    # written before words are cut, or the optimizer moves the rules below the join and applies them to every row
+    held_out = stored(rows.join(F.broadcast(sample.where((F.col("_label") == 0) | (fold == 1))), "_id"), "held_out")
+    chosen = base_rules(with_words(held_out, text_col)).where("not base_failed")
     scored = scores(chosen, ratios).where("_n > 0").select("_label", F.floor(F.col("_sum") / F.col("_n")).cast("long").alias("s"))
     bins = sorted(scored.groupBy("s").agg(F.sum(F.col("_label")).alias("good"), F.sum(1 - F.col("_label")).alias("bad")).collect())
     good, bad = sum(b.good for b in bins), sum(b.bad for b in bins)
