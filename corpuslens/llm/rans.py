@@ -37,7 +37,7 @@ LOW = np.uint64(1 << 31)
 LANES = 1024
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 256
-SEGMENT_TOKENS = 1 << 22
+SEGMENT_TOKENS = 1 << 21
 MAGIC = b"RANS1"
 
 
@@ -128,7 +128,9 @@ def encode_segment(ids: np.ndarray, lanes: int = LANES, block_tokens: int = BLOC
     """Magic, table (delta-coded symbols and slots, deflated), block directory, blocks."""
     symbols, f32 = frequencies(ids)
     f, c = _tables(f32)
-    index = np.searchsorted(symbols, ids)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint32)
+    places[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    index = places[ids]
     blocks = [encode_block(index[k : k + block_tokens], f, c, lanes, every) for k in range(0, len(ids), block_tokens)]
     table = zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes() + f32.astype("<u4").tobytes())
     return MAGIC + struct.pack("<III", len(symbols), len(table), len(blocks)) + table + struct.pack(f"<{len(blocks)}I", *map(len, blocks)) + b"".join(blocks)

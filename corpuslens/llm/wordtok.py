@@ -7,22 +7,24 @@ only chunks that the worker has not met are given to the tokenizers library.
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from .common import whitespace_words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by one Python worker (about 200 bytes each); the memo starts anew beyond.
-MEMO_CHUNKS = 400_000
+#: Chunks of one of the memo's two generations (about 200 bytes each): a full young one becomes the old one,
+#: and chunks met again move back, so frequent words are never encoded anew.
+MEMO_CHUNKS = 250_000
 #: A chunk longer than this is encoded each time, so that the memo stays small.
 MEMO_CHARS = 64
-_SEP = "\x01"
-_GLUE = f" {_SEP} "
 _KNOWN: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -46,13 +48,23 @@ class ChunkTokenizer:
         self.full = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
-        sep = self.full.encode(_SEP, add_special_tokens=False).ids
-        self.sep = sep[0] if len(sep) == 1 else None
+        # every piece of the pre-tokenizer's pattern ends with an id of this suffix
+        spec = json.loads(self.full.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("a tokenizer whose words end with a suffix is needed")
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        vocab = self.full.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.specials = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self._reset()
-
-    def _reset(self) -> None:
         self.memo: dict[str, int] = {}
+        self._turn()
+
+    def _turn(self) -> None:
+        """The young generation becomes the old one."""
+        self.old = (self.memo, *(getattr(self, k, np.zeros(0, np.int64)) for k in ("starts", "lens", "arena")))
+        self.memo = {}
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int64)
         self.n = 0
@@ -74,28 +86,53 @@ class ChunkTokenizer:
         return first
 
     def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and lengths of new chunks, in the order of the third array. Chunks of characters below U+0180, which the
-        normaliser only lower-cases, go together, parted by a separator's id."""
-        joint, alone = [], []
+        """Ids and lengths of new chunks, in the order of the third array. Printable chunks of characters below U+0180,
+        which the normaliser only lower-cases, go together; the ids that close a piece tell them apart."""
+        joint, alone, counts = [], [], []
         for i, c in enumerate(chunks):
-            ok = self.sep is not None and _SEP not in c and (c.isascii() or max(c) < "ƀ" and "İ" not in c)
-            (joint if ok else alone).append(i)
+            if not (c.isascii() or max(c) < "ƀ" and "İ" not in c):
+                alone.append(i)
+            elif c.isalpha():
+                joint.append(i)
+                counts.append(1)
+            elif c.isprintable():
+                joint.append(i)
+                counts.append(len(self.pieces.findall(c)))
+            else:
+                alone.append(i)
         order = np.array(joint + alone, np.int64)
-        texts = [_GLUE.join([chunks[i] for i in joint[k : k + 500]]).lower() for k in range(0, len(joint), 500)]
-        ids, lens = [], []
-        for e in self.bare.encode_batch_fast(texts, add_special_tokens=False):
-            got = np.array(e.ids, np.uint32)
-            cut = got == self.sep
-            ids.append(got[~cut])
-            ends = np.concatenate((np.flatnonzero(cut), [len(got)]))
-            lens.append(np.diff(ends, prepend=-1) - 1)
+        texts = [" ".join([chunks[i] for i in joint[k : k + 500]]).lower() for k in range(0, len(joint), 500)]
+        found = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [np.concatenate(found) if found else np.zeros(0, np.uint32)]
+        closing = np.concatenate(([-1], np.flatnonzero(self.closes[ids[0]])))
+        last = np.cumsum(np.array(counts, np.int64))
+        if len(closing) - 1 != (int(last[-1]) if len(last) else 0):
+            raise ValueError("pieces and ids do not agree")
+        lens = [np.diff(closing[last], prepend=-1)]
         for i in alone:
             got = np.array(self.full.encode(chunks[i], add_special_tokens=False).ids, np.uint32)
             ids.append(got)
             lens.append(np.array([len(got)]))
-        ids_all, lens_all = np.concatenate(ids), np.concatenate(lens)
-        assert len(lens_all) == len(chunks)
-        return ids_all, lens_all, order
+        return np.concatenate(ids), np.concatenate(lens), order
+
+    def _found(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks that the young generation lacks: moved from the old one, or encoded."""
+        memo, starts, lens, arena = self.old
+        before = np.fromiter(map(memo.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.empty(len(chunks), np.int64)
+        known = np.flatnonzero(before >= 0)
+        if len(known):
+            sizes = lens[before[known]]
+            ends = np.cumsum(sizes)
+            first = self._add(arena[np.repeat(starts[before[known]] - (ends - sizes), sizes) + np.arange(int(ends[-1]))], sizes)
+            at[known] = np.arange(first, first + len(known))
+        new = np.flatnonzero(before < 0)
+        if len(new):
+            ids, sizes, order = self._encode_new([chunks[i] for i in new])
+            first = self._add(ids, sizes)
+            at[new[order]] = np.arange(first, first + len(new))
+        self.memo.update((w, n) for w, n in zip(chunks, at.tolist()) if len(w) <= MEMO_CHARS)
+        return at
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a string array; a null text is empty; end_id closes each text."""
@@ -106,17 +143,12 @@ class ChunkTokenizer:
         plain = pc.if_else(pa.array(~special), texts, pa.scalar("", pa.large_string())) if special.any() else texts
         codes, distinct, offsets = whitespace_words(plain)
         if self.n > MEMO_CHUNKS:
-            self._reset()
+            self._turn()
         words = distinct.to_pylist()
-        memo = self.memo
-        at = np.fromiter((memo.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            chunks = [words[i] for i in new]
-            ids, lens, order = self._encode_new(chunks)
-            first = self._add(ids, lens)
-            at[new[order]] = np.arange(first, first + len(new))
-            memo.update((w, n) for w, n in zip(chunks, at[new].tolist()) if len(w) <= MEMO_CHARS)
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = self._found([words[i] for i in missing])
         number = at[codes]
         if end_id is not None:
             end = self._add(np.array([end_id], np.uint32), np.array([1]))
@@ -125,8 +157,10 @@ class ChunkTokenizer:
         lens = self.lens[number]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        pos = np.repeat(self.starts[number] - (ends - lens), lens) + np.arange(total)
-        ids = self.arena[pos]
+        narrow = np.int32 if total + self.used < 1 << 31 else np.int64
+        pos = np.repeat((self.starts[number] - (ends - lens)).astype(narrow), lens)
+        pos += np.arange(total, dtype=narrow)
+        ids = np.take(self.arena, pos)
         bounds = np.concatenate(([0], ends))[offsets]
         if special.any():
             parts, lengths = [], []
