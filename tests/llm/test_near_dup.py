@@ -88,3 +88,45 @@ def test_table_of_few_words(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id long, text string").coalesce(1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (0, 3)}
+
+
+def test_large_group_of_near_copies(spark):
+    """50,000 different texts around one: a single component, without pairs inside it."""
+    base = [f"w{k}" for k in range(60)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 50_000):
+        own = list(base)
+        own[i % 60] = f"x{i}"
+        docs.append((i, " ".join(own)))
+    docs += [(60_000 + k, " ".join(f"y{k}z{j}" for j in range(30))) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: 0 if i < 50_000 else i for i, _ in docs}
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(5, "a b c d"), (5, "p q r s"), (3, "a b c d"), (9, "p q r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df, shingle=2).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+    assert sorted(r.doc_id for r in near_dup.keep_one(df, shingle=2).collect()) == [3, 5, 5]
+
+
+def test_sketches_never_drop_a_link():
+    """Sets at and above the threshold, whole and sampled, pass the sketch test."""
+    import numpy as np
+
+    rng, sketcher = np.random.default_rng(5), near_dup.Sketcher()
+    for n in (3, 40, 900, 1_100, 9_000):
+        for _ in range(30):
+            both = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            x, y = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, n // 8, np.uint64) * np.uint64(2) + np.uint64(1)))) for _ in range(2))
+            common = len(np.intersect1d(x, y))
+            if 100 * common < 80 * (len(x) + len(y) - common):
+                continue
+            at = [near_dup.level(len(s)) for s in (x, y)]
+            top = max(at)
+            half = [sketcher.parity(s)[(16 if a < top else 0) : (32 if a < top else 16)] for s, a in zip((x, y), at)]
+            bits = int(np.bitwise_count(half[0].view(np.uint64) ^ half[1].view(np.uint64)).sum())
+            far = (len(x) + len(y)) * 20 / 180
+            assert bits <= (far if not top else far / 2**top + 6 * (far / 2**top) ** 0.5)
