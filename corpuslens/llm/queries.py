@@ -44,9 +44,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import judge_urls
+    from .html_text import extract_main_text
+    from .url_filter import judge_urls, labels_by_text
 
-    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    labelled = labels_by_text(extract_main_text(pages), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

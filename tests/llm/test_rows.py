@@ -7,7 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from corpuslens.llm import html_text, line_dedup, quality, token_count, url_filter
+from corpuslens.llm import html_text, line_dedup, quality, token_count
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header class="site-header"><a href="/">Home</a> Site name</header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
@@ -25,6 +25,25 @@ def test_main_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == WANT
 
 
+def speechless(k, rng):
+    """A page whose containers say nothing, and its article."""
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma,", "delta.", "eps"]) for _ in range(n))
+    menu = "".join(f"<div><a href='/{i}'>{say(2)}</a></div>" for i in range(rng.randint(3, 9)))
+    lines = [f"Heading {k}"] + [say(rng.choice([2, 3, 60, 80, 120])) for _ in range(rng.randint(4, 9))] + [say(90)]
+    article = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x[:40]}<b>{x[40:]}</b></p>" for x in lines[1:])
+    html = f"<html><body><div><div>{menu}</div><div>{article}</div><div><div>{say(6)}</div><div><a href='/x'>{say(3)}</a> {say(2)}</div></div></div></body></html>"
+    return html, "\n".join(" ".join(x.split()) for x in lines)
+
+
+def test_ratios_decide_where_containers_say_nothing(monkeypatch):
+    """The smoothed ratio and its threshold find the article; without them the answer is another."""
+    rng = random.Random(11)
+    pages = [speechless(k, rng) for k in range(60)]
+    assert [html_text.main_text(h) for h, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(html_text, "content_region", lambda reader: set(range(len(reader.parents))))
+    assert not any(html_text.main_text(h) == t for h, t in pages)
+
+
 def test_main_text_edges(spark):
     assert html_text.main_text("just text &amp; no tags") == "just text & no tags"
     assert html_text.main_text("<p>a<p>b") == "a\nb"
@@ -64,52 +83,6 @@ def test_ties_keep_the_earliest_start():
     assert counter.best("▁aab") == (2, -4.0)
 
 
-def rule_by_hand(url):
-    url = url or ""
-    if "://" not in url:
-        return "", "", None
-    rest = url.split("://", 1)[1]
-    host = re.match(r"[^/?#]*", rest)[0]
-    path = re.match(r"[^?#]*", rest[len(host) :])[0]
-    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    fit = [(len(r), a, r) for a, r in url_filter.RULES if (("." + host).endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
-    return host, path, max(fit)[1:] if fit else None
-
-
-def test_url_rules(spark):
-    urls = [
-        "http://a.example.org/en/12?x", "https://EXAMPLE.org/es/1", "http://example.org/es", "http://notexample.org/es/", "http://x.com/fr/a/b#c", "http://x.com/de/", "http://com/de/1", "ftp://org", "http://org/",
-        "http://x.org?u=/a", "nourl", "", None, "://", "http://a://b.com/fr/", "http://casino-win.net/en/1", "http://casino-win.net/en/2", "http://good.net/en/3", "http://good.com:80/fr/", "http://É.Com/fr/é",
-        "http://good.net/" + "a/" * 5000,
-    ]
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
-    assert len(got) == len(urls)
-    for i, u in enumerate(urls):
-        host, path, rule = rule_by_hand(u)
-        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule and rule[1]), u
-        if rule:
-            assert got[i].verdict == rule[0]
-    assert got[15].verdict == got[16].verdict == "block" and got[15].template.startswith("/en/")
-    assert got[17].verdict == got[12].verdict == "allow"
-    assert url_filter.judge_urls(df.limit(0)).count() == 0
-
-
-def test_unlabelled_hosts_pass_among_bad_labels(spark):
-    rows = [(i, f"http://casino-win.net/en/{i}") for i in range(9)] + [(20, "http://good.org/a"), (21, "http://plain.net/a/b"), (22, None)]
-    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert got == {**dict.fromkeys(range(9), "block"), 20: "allow", 21: "allow", 22: "allow"}
-
-
-def test_many_children_become_a_wildcard(spark):
-    rows = [("h", f"blog/post{chr(97 + i)}x", 0, 1) for i in range(20)] + [("h", "shop/a", 1, 0)] * 20 + [("h", "blog/fix", 0, 1)]
-    tree, prior = url_filter.template_tree(spark.createDataFrame(rows, "host string, raw string, bad long, good long"))
-    found = {r.raw: r for r in tree.collect()}
-    assert found["blog/postax"].template == "/blog/*" and found["shop/a"].template == "/shop/a"
-    assert found["shop/a"].purity > 0.7 > 0.3 > found["blog/fix"].purity
-    assert 0.4 < prior < 0.6
-
-
 def test_line_removal(spark):
     common, rare, text = "common line of all sites", "rare line", "own {} words"
     rows = [(i, f"{common}\n{text.format(i)}\n\n{rare if i < 5 else 'else'}{i if i >= 5 else ''}", f"s{i}", 3) for i in range(14)]
