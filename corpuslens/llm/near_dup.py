@@ -231,6 +231,7 @@ def _links(nodes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> Dat
     members = stored(buckets.join(shared.hint("merge"), "b").select("b", "node", "lead"), "members")
     taking_part = stored(members.select("node").distinct(), "taking_part")
     n_nodes = taking_part.count()
+    taking_part = F.broadcast(taking_part) if n_nodes <= BROADCAST_ROWS else taking_part
     sketch = stored(sketch.join(taking_part, "node", "left_semi"), "sketch")
     own = stored(nodes.select("node", "doc_id").join(taking_part, "node", "left_semi"), "own")
     sets = stored(_sets(docs, own, shingle).dropDuplicates(["node"]), "sets")
