@@ -1,8 +1,11 @@
 """Restoring disguised words, and held-out accuracy of the classifier."""
 
+import itertools
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from corpuslens.llm import toxicity
@@ -28,25 +31,60 @@ def corpus():
     return rows, labels
 
 
-def test_disguises(corpus):
+def model(texts):
+    codes = {c: k for k, c in enumerate(toxicity.ALPHABET, 2)} | {toxicity.EDGE: 0}
     grams = {}
-    for _, text in corpus[0]:
-        for w in toxicity._LETTERS.findall(text):
+    for text in texts:
+        for w in toxicity._LETTERS.findall(text.lower()):
             w = toxicity.EDGE * 2 + w + toxicity.EDGE
             for i in range(len(w) - 2):
-                grams[w[i : i + 3]] = grams.get(w[i : i + 3], 0) + 1
-    r = toxicity.Restorer(grams)
+                x, y, z = (codes.get(c, 1) for c in w[i : i + 3])
+                g = (x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z
+                grams[g] = grams.get(g, 0) + 1
+    return grams
+
+
+def test_trigram_counts(spark):
+    texts = ["The the, ñandú-x ab", None, "", "日本 b2b ÀÉ straße", "a" * 3000 + " end"]
+    df = spark.createDataFrame([(t,) for t in texts] * 3, "text string")
+    assert toxicity.character_counts(df, "text") == {g: 3 * n for g, n in model(t for t in texts if t).items()}
+
+
+def test_disguises(corpus):
+    r = toxicity.Restorer(model(t for _, t in corpus[0]))
     cases = {"1d10t": "idiot", "$tup1d": "stupid", "stuuuupid": "stupid", "m0r0n!": "moron", "w0rthl3ss": "worthless", "i.d.i.o.t": "idiot", "st-up-id": "stupid", "idiot": "idiot", "(m0ron)": "moron"}
     for seen, meant in cases.items():
         assert meant in r.words(seen), (seen, r.words(seen))
     assert r.words("***") == () and r.words("theon,") == ("theon",) and r.words("2024") == ()
-    assert "idiot" in set(toxicity.inner_words(toxicity._spelled("so i d i o t it is")[0]))
+    assert "idiot" in set(toxicity._finder(dict.fromkeys(BAD, 1.0))(toxicity._spelled("so i d i o t it is")[0]))
+
+
+def test_viterbi_equals_enumeration(corpus):
+    """The best path of a lattice is the best of all its paths, written out."""
+    r, rng = toxicity.Restorer(model(t for _, t in corpus[0])), random.Random(6)
+    for _ in range(300):
+        token = "".join(rng.choice("aditosr013!$.*@") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))
+        paths = []
+        for picks in itertools.product(*(choices for choices, _ in r._lattice(token))):
+            text, p = "".join(x for x, _ in picks), 0.0
+            walk = toxicity.EDGE * 2 + text + toxicity.EDGE
+            p = sum(q for _, q in picks) + sum(r.lm(*walk[i : i + 3]) for i in range(len(walk) - 2))
+            paths.append((p, text))
+        best = max(p for p, _ in paths)
+        if paths:
+            assert r._viterbi(token) in {t for p, t in paths if p >= best - 1e-9}, token
+
+
+def test_near_copies():
+    keys = np.array([[1, 9], [2, 8], [1, 7], [5, 7], [6, 6]])
+    assert toxicity.near_copies(keys).tolist() == [0, 1, 0, 0, 4]
 
 
-def test_company():
-    rows = lambda a, b: set(range(a, b))
-    holds = {"=idiot": rows(0, 40), "=moron": rows(20, 60), "=qqqa": rows(100, 120), "=qqqb": rows(100, 121), "^idio": rows(0, 40), "=rare": rows(0, 3)}
-    assert toxicity._independent(holds, dict.fromkeys(holds, 0)) == ["=idiot", "=moron"]
+def test_logistic_and_cut():
+    seen = {(0.0, 0): 90, (0.0, 1): 2, (4.0, 0): 1, (4.0, 1): 10}
+    scale, base = toxicity.logistic(seen)
+    assert abs(1 / (1 + math.exp(-base)) - 2 / 92) < 0.01 and abs(1 / (1 + math.exp(-base - 4 * scale)) - 10 / 11) < 0.02
+    assert toxicity.best_cut(seen) == 2.0
 
 
 def test_held_out(spark, corpus):
