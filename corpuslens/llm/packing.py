@@ -6,12 +6,14 @@ opens with a remainder of its own tier and its gap is filled from shorter tiers,
 last filler being cut where the window ends (what is left of it is routed anew).
 Windows have the exact length of their tier, a power of two, so nothing is padded;
 the few tokens left when a partition ends are cut into powers of two as well.
-Sequences of one tier are dealt into step groups of equal token count.
+Sequences of one tier are dealt into step groups of equal token count; the last few of a
+partition share one group of less.
 
 Each partition is packed on its own as it streams by: no shuffle, no driver, memory
 bounded by one Arrow batch. Sequence ids carry the partition number in their high bits.
 
-Defined cases: a null or empty text is one end token; repeated rows are packed each;
+Defined cases: a null or empty text is one end token; remainders of equal length are
+packed in the order they came; repeated rows are packed each;
 a null id stays null; very long texts become many full windows; extra columns are
 ignored; an empty table gives no rows.
 """
@@ -62,13 +64,14 @@ class Packer:
         if full < n:
             self._route((key, full, ids[full:], n))
 
-    def _close(self, pieces: list[tuple], tier: int) -> None:
-        """Number the sequence and its step group, and place its pieces."""
-        group, held = self.in_group.get(tier, (None, 0))
+    def _close(self, pieces: list[tuple], tier: int, shape: int | None = None) -> None:
+        """Number the sequence and its step group, and place its pieces. Groups are of one shape, its tier if none is named."""
+        shape = tier if shape is None else shape
+        group, held = self.in_group.get(shape, (None, 0))
         if group is None or held + tier > self.step_tokens:
             group, held = self.groups, 0
             self.groups += 1
-        self.in_group[tier] = (group, held + tier)
+        self.in_group[shape] = (group, held + tier)
         offset = 0
         for key, start, ids, n in pieces:
             self.out.append((key, start, ids, n, self.sequences, offset, tier, group))
@@ -124,7 +127,7 @@ class Packer:
                 if len(ids) > gap:
                     rest.insert(0, (key, start + gap, ids[gap:], n))
                 gap -= len(pieces[-1][2])
-            self._close(pieces, size)
+            self._close(pieces, size, 0)  # the remainders of a partition share a group
             left -= size
         self.pools = {t: deque() for t in self.tiers}
 

@@ -69,3 +69,39 @@ def test_entry_works_without_the_subpackage():
 
     code = "import sys\nsys.modules['corpuslens.llm'] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert 'bm25_or' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)\nassert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words string, _row int, text_key long, comp string"
+
+
+def run_stages(spark, path, docs, tmp_path):
+    got = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        got.append((name, docs))
+    return got
+
+
+def test_empty_table(spark, folder, tmp_path):
+    for name, out in run_stages(spark, folder[0], spark.createDataFrame([], SCHEMA), tmp_path):
+        assert out.count() == 0 and (name == "packing" or len(out.columns) == 10)
+
+
+def test_nulls_repeats_clashing_columns_and_long_texts(spark, folder, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    twice, long = say(60), say(100_000)
+    rows = [(1, twice, "en", "s1"), (1, twice, "en", "s1"), (2, twice + " w1", None, None), (3, long, "en", "s2"), (4, None, None, None), (5, "", "en", "s1"), (None, say(50), "en", "s3"), (None, None, None, None), (6, say(40), None, "s9")]
+    docs = spark.createDataFrame([(i, t, a, b, None, None, "x", 7, None, "y") for i, t, a, b in rows], SCHEMA)
+    stages = dict(run_stages(spark, folder[0], docs, tmp_path))
+    for name, out in stages.items():
+        if name != "packing":
+            assert out.columns == docs.columns and {(r.n_words, r._row, r.comp) for r in out.collect()} == {("x", 7, "y")}
+    kept = sorted((r.doc_id or 0, r.text) for r in stages["decontamination"].collect())
+    passed = sorted((r.doc_id or 0, r.text) for r in stages["quality"].collect())
+    assert all(t for _, t in passed)  # nulls and empty texts are gone
+    assert kept == [r for r in passed if r[0] != 2] if (1, twice) in passed else kept == passed
+    whole = stages["packing"].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id or 0 for r in whole} == {i for i, _ in kept}

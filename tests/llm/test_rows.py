@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import html_text, line_dedup, quality, token_count
 
@@ -133,3 +134,54 @@ def test_quality_rules(spark):
     none = quality.judge_quality(docs, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in none)
     assert quality.judge_quality(docs.limit(0), labels).count() == 0
+
+
+def test_quality_ids_of_any_type_and_long_texts(spark):
+    rng = random.Random(3)
+    say = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    rows = [(f"d{i}", say(["the", "of", "tree"], 30) if i % 2 else say(["$$", "#y", "z|"], 30), i) for i in range(40)]
+    rows += [("long", say(["the", "of", "tree", "house"] + [f"t{k}" for k in range(5000)], 50_000), 0), ("d1", rows[1][1], 1), (None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_words int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)] + [("d1", 1)], "doc_id string, quality int")
+    got = quality.judge_quality(docs, labels).collect()
+    assert len(got) == len(rows) and {r.n_words for r in got if r.doc_id == "long"} == {50_000}
+    assert len({r.kept for r in got if r.doc_id == "d1"}) == 1
+
+
+def test_ratio_and_threshold_by_hand(spark):
+    """Integer ratios, scores and the cut against a plain re-computation from the same hashes."""
+    import math
+
+    rng = random.Random(5)
+    good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choice(good if rng.random() < (0.8 if i % 3 else 0.2) else bad) for _ in range(rng.randint(25, 60)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)], "doc_id long, quality int")
+    hashed = quality.with_words(docs, "text").withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2))).collect()
+    cells, n = {r.doc_id: [h % 64 for h in [*r._h, *r._h2]] for r in hashed}, 64
+    raw, target = Counter(), Counter()
+    for r in hashed:
+        raw.update(cells[r.doc_id])
+        if r.doc_id < 50 and r.doc_id % 3 and r.fold == 0:
+            target.update(cells[r.doc_id])
+    log = lambda c, x: math.log((c[x] + 1) / (sum(c.values()) + n))
+    ratio = {x: round(quality.SCALE * (log(target, x) - log(raw, x))) if raw[x] else 0 for x in range(n)}
+    score = {i: sum(ratio[x] for x in c) // len(c) for i, c in cells.items()}
+    failed = {r.doc_id: r.base_failed for r in quality.judge_quality(docs, labels, buckets=n).collect()}
+    judged = [(score[r.doc_id], int(r.doc_id % 3 > 0)) for r in hashed if r.doc_id < 50 and not failed[r.doc_id] and (r.doc_id % 3 == 0 or r.fold == 1)]
+    values = sorted({v for v, _ in judged})
+    gain = lambda v: sum(k for s, k in judged if s >= v) / max(1, sum(k for _, k in judged)) + sum(1 - k for s, k in judged if s < v) / sum(1 - k for _, k in judged)
+    best = max(values, key=lambda v: (gain(v), -v))
+    cut = (best + values[values.index(best) - 1]) // 2 if best != values[0] else best
+    for r in quality.judge_quality(docs, labels, buckets=n).collect():
+        total = sum(ratio[x] for x in cells[r.doc_id])
+        assert r.kept == (not r.base_failed and total >= cut * len(cells[r.doc_id])), r.doc_id
+
+
+def test_lines_without_an_id_and_very_long_ones(spark):
+    common, long = "shared by all", "x " * 100_000
+    rows = [(i, f"{common}\n{long}{i}", f"s{i}") for i in range(12)] + [(None, f"{common}\nown {i}", f"s{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r._row.doc_id, r.text) for r in line_dedup.remove_boilerplate(df).collect()]
+    assert sorted(t for i, t in got if i is None) == sorted(t for i, t, _ in rows if i is None)
+    assert {i: t for i, t in got if i is not None} == {i: t if i == 0 else f"{long}{i}" for i, t, _ in rows if i is not None}
