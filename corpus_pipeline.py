@@ -2,6 +2,15 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs.
+
+Defined cases, by stage: a null or wordless text is rejected by the quality rules, so later
+stages meet only texts with words, or, cut line by line, empty ones; an emptied text is no
+copy of anything, holds no benchmark window and is packed as its end token. Repeated rows
+are judged alike, each for itself, and stay or go together; of near copies the smallest id
+stays. A null id is never cut or dropped as a copy. Texts of any length are read whole.
+Extra columns stay as they are up to packing, whatever their names. Without labels the base
+rules alone decide; without benchmark items nothing is contaminated; without documents every
+stage is empty.
 """
 
 from __future__ import annotations
