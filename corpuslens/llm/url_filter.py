@@ -133,9 +133,9 @@ def labels_by_text(
     key = lambda c: F.xxhash64(F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
     bad = F.when((F.col(quality_col) == 0) | (F.col(toxic_col) == 1), 1).when((F.col(quality_col) == 1) | (F.col(toxic_col) == 0), 0)
     known = labels.select(F.col(doc_id_col).alias("_id"), bad.alias("_bad")).where("_bad is not null and _id is not null").distinct()
-    texts = docs.select(F.col(doc_id_col).alias("_id"), F.col(doc_text_col).alias("_text")).where(F.col("_text").rlike(r"[\p{L}\p{N}]"))
-    # copies of one text may be labelled differently: every label counts once
-    said = texts.join(known, "_id").select(key(F.col("_text")).alias("key"), "_bad").distinct()
+    # hashed before the join, so that no text is shuffled; copies of one text may be labelled differently: every label counts once
+    hashed = docs.where(F.col(doc_text_col).rlike(r"[\p{L}\p{N}]")).select(F.col(doc_id_col).alias("_id"), key(F.col(doc_text_col)).alias("key"))
+    said = hashed.join(known, "_id").select("key", "_bad").distinct()
     text = F.col(text_col)
     body = F.substring(text, F.instr(text, "\n") + 1, F.length(text))  # the whole text if it has one line
     keys = pages.where(text.rlike(r"[\p{L}\p{N}]")).select(F.col(id_col), F.explode(F.array_distinct(F.array(key(text), key(body)))).alias("key"))
