@@ -85,7 +85,7 @@ def intent(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Index terms: lower-case, accents folded, runs of letters and digits."""
-    folded = F.translate(F.lower(c), ACCENTED, PLAIN)
+    folded = F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.lower(c), ACCENTED, PLAIN))
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 

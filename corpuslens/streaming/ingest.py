@@ -24,13 +24,14 @@ def pages_of(raw: DataFrame) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, store: Store) -> None:
-    pages = store.upsert("pages", pages_of(raw))
-    new = pages.join(raw.select(canonical_url(F.col("url")).alias("url")).distinct(), "url", "left_semi")
-    chunks = slice_pages(new)
-    stored = store.replace_children("chunks", "page_id", new, chunks)
-    mine = stored.join(new.select("page_id"), "page_id", "left_semi")
-    store.upsert("chunk_edges", chunk_edges(mine))
-    store.upsert("symbols", extract_symbols(mine).withColumn("symbol_id", short_id(F.col("chunk_id"), F.col("name"))))
+    """Pages, chunks, edges and symbols change together; what belonged to chunks that are gone goes with them."""
+    with store.transaction():
+        pages = store.upsert("pages", pages_of(raw))
+        new = pages.join(raw.select(canonical_url(F.col("url")).alias("url")).distinct(), "url", "left_semi")
+        stored = store.replace_children("chunks", new, slice_pages(new))
+        mine = stored.join(new.select("page_id"), "page_id", "left_semi")
+        store.upsert("chunk_edges", chunk_edges(mine))
+        store.upsert("symbols", extract_symbols(mine).withColumn("symbol_id", short_id(F.col("chunk_id"), F.col("name"))))
 
 
 def stream_pages(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> StreamingQuery:

@@ -87,3 +87,29 @@ def test_stream(spark, store, tmp_path):
             one("<title>T</title><h1>A</h1><p>two</p>", "2024-01-02").write.parquet(f"{raw}/2")
     assert store.read("pages").count() == 1 and [r.content for r in store.read("chunks").collect()] == ["two"]
     assert {r.doc_version for r in store.read("chunks").collect()} == {"v1"}
+    ids = {r.chunk_id for r in store.read("chunks").collect()}  # no orphans of the first version
+    assert {r.src for r in store.read("chunk_edges").collect()} <= ids and {r.chunk_id for r in store.read("symbols").collect()} <= ids
+
+
+def test_store_transactions_and_buckets(spark, store):
+    rows = lambda *r: spark.createDataFrame(list(r), "source_id string, page_id string, url string, content_hash string")
+    store.upsert("pages", rows(*(("s", f"p{i}", f"u{i}", "h") for i in range(40))))
+    before = store._state()["tables"]["pages"]
+    store.upsert("pages", rows(("s", "p3", "u3", "new")))
+    after = store._state()["tables"]["pages"]
+    assert sum(before[b] != after[b] for b in before) == 1  # one bucket was written anew
+    with pytest.raises(RuntimeError), store.transaction():
+        store.upsert("pages", rows(("s", "p4", "u4", "lost")))
+        store.insert_absent("links", spark.createDataFrame([("p1", "x")], "page_id string, url string"))
+        raise RuntimeError
+    assert store.read("links") is None and {r.content_hash for r in store.read("pages").collect()} == {"h", "new"}
+    other = Store(spark, store.folder)
+    with pytest.raises(Exception, match="exists"), store.transaction():
+        store.upsert("pages", rows(("s", "p5", "u5", "mine")))
+        other.upsert("pages", rows(("s", "p6", "u6", "theirs")))
+    assert {r.content_hash for r in store.read("pages").collect()} == {"h", "new", "theirs"}
+    for k in range(4):  # files of old states go
+        store.upsert("pages", rows(("s", "p7", "u7", f"k{k}")))
+    assert len(store._pointers()) == 2
+    store.delete("pages", lambda p: p.where("false"))
+    assert store.read("pages").count() == 0
