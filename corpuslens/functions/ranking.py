@@ -7,20 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weight of a source type for a purpose.
-TYPES = ("llms_txt", "sitemap", "web", "llms_full_txt", "markdown", "skill", "openapi", "github")
 PURPOSES = {
-    "navigation": (1.0, 0.9, 0.7, 0.6, 0.5, 0.45, 0.4, 0.3),
-    "conceptual": (0.85, 0.3, 0.75, 0.95, 1.0, 0.6, 0.5, 0.45),
-    "api": (0.4, 0.2, 0.5, 0.65, 0.7, 0.3, 1.0, 0.35),
-    "examples": (0.45, 0.2, 0.6, 0.8, 0.85, 0.5, 0.4, 1.0),
-    "implementation": (0.85, 0.2, 0.65, 0.8, 0.9, 1.0, 0.6, 0.55),
+    "navigation": {"llms_txt": 1.0, "sitemap": 0.9, "web": 0.7, "llms_full_txt": 0.6, "markdown": 0.5, "skill": 0.45, "openapi": 0.4, "github": 0.3},
+    "conceptual": {"llms_txt": 0.85, "sitemap": 0.3, "web": 0.75, "llms_full_txt": 0.95, "markdown": 1.0, "skill": 0.6, "openapi": 0.5, "github": 0.45},
+    "api": {"llms_txt": 0.4, "sitemap": 0.2, "web": 0.5, "llms_full_txt": 0.65, "markdown": 0.7, "skill": 0.3, "openapi": 1.0, "github": 0.35},
+    "examples": {"llms_txt": 0.45, "sitemap": 0.2, "web": 0.6, "llms_full_txt": 0.8, "markdown": 0.85, "skill": 0.5, "openapi": 0.4, "github": 1.0},
+    "implementation": {"llms_txt": 0.85, "sitemap": 0.2, "web": 0.65, "llms_full_txt": 0.8, "markdown": 0.9, "skill": 1.0, "openapi": 0.6, "github": 0.55},
 }
 AUTHORITIES = {"official": 1.0, "community": 0.8, "third_party": 0.6}
 
 
 def source_score(purpose: str) -> Column:
     weight = F.lit(0.4)
-    for kind, w in zip(TYPES, PURPOSES[purpose]):
+    for kind, w in PURPOSES[purpose].items():
         weight = F.when(F.col("type") == kind, w).otherwise(weight)
     trust = F.lit(0.6)
     for name, w in AUTHORITIES.items():

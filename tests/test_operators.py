@@ -38,8 +38,13 @@ def test_pack_context():
     picked = packer.pick_chunks(rows, budget=250)
     assert [r["id"] for r in sorted(picked, key=lambda r: r["pick"])] == ["0", "2"]
     assert sum(r["token_estimate"] for r in picked) <= 250
-    text = packer.context_markdown("t", "api", [{"breadcrumb": "A", "chunk_type": "warning", "token_estimate": 1, "content": "c", "source_url": "u"}])
-    assert "[!WARNING]" in text and "[u](u)" in text
+
+
+def test_context_documents(spark):
+    rows = [(1, 1, "B", "prose", 5, " two ", "u"), (1, 0, "A", "warning", 3, "one", "u"), (2, 0, "C", "code", 1, "x", None)]
+    got = {r.query_id: r for r in packer.context_documents(spark.createDataFrame(rows, "query_id long, place long, section string, chunk_type string, token_estimate long, content string, url string")).collect()}
+    assert got[1].document == "! A\n\n## A\n\none\n\nfrom u\n\n## B\n\ntwo\n\nfrom u" and got[1].tokens == 8 and got[1].urls == ["u"]
+    assert got[2].document == "## C\n\nx" and got[2].urls == []
 
 
 MD = "# A\n\nintro\n\n## B\n\n```js\n  function foo() {}\n```\n\nGET /v1/x\n\n### C\n\n> [!WARNING]\n> careful\n\n# D\n\n```\nopen fence $$ $&\n# no heading"
