@@ -64,6 +64,11 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(c, r"[^A-Za-z0-9_\s-]", " "), r"\s+"), "")
 
 
+def chunk_tokens(c: Column) -> Column:
+    """What a search of chunks asks for: every word, stopwords too."""
+    return words(F.trim(c))
+
+
 def search_tokens(c: Column) -> Column:
     """Words of three and more characters that are no stopwords, else those of two and more."""
     all_words = words(c)
@@ -121,26 +126,38 @@ def leading_method(c: Column) -> tuple[Column, Column]:
     return method, F.when(method.isNotNull(), F.regexp_extract(c, pattern, 2)).otherwise(c)
 
 
+#: Page types in order, with what shows them in an address and in a title.
+PAGE_TYPES = {
+    "changelog": ("changelog|releases?|version-history", "changelog|release notes"),
+    "faq": ("faq", "faq|frequently asked questions"),
+    "troubleshooting": ("troubleshooting|error-codes|error-handling|debugging|errors", "troubleshooting|error codes|error handling|common errors"),
+    "webhook": ("webhook|webhooks", "webhooks?"),
+    "authentication": ("auth|authentication|oauth|rate-limit|api-key|tokens?|security", "authentication|rate limiting|api keys?|oauth 2|authorization"),
+    "schema": ("schemas?|models?|data-models?|types?", "object schema|data model|schema definition"),
+    "endpoint": None,  # by the calls that the content shows
+    "api_reference": ("api-reference|api-docs?|endpoints?|reference", "api reference|endpoints?"),
+    "tutorial": ("tutorials?|getting-started|walkthrough", "tutorial|step-by-step|getting started"),
+    "guide": ("guides?|how-to|recipes?", "guide|how to"),
+    "concept": ("concepts?|architecture|fundamentals|core-concepts", "concepts?|architecture|overview"),
+    "documentation_overview": (None, "overview|introduction|welcome|quickstart"),
+}
+#: Signs of an endpoint's page, and addresses of an overview.
+CALL, VERSIONED_CALL = rf"{LEFT}(?:get|post|put|delete|patch)\s+/", rf"{LEFT}(?:get|post|put|delete|patch)\s+(?:/v\d+|/api)"
+CALL_PARTS, CALL_VERBS, OVERVIEW = r"request\s+body|response\s+body|status\s+code\s+200", "create|delete|update|get|list|cancel|parse", r"(?:/docs/?$|/api/docs/?$|/index(?:\.html)?$)"
+
+
 def page_type(url: Column, title: Column, content: Column, depth: Column) -> Column:
     """Kind of documentation page by address, title and, for endpoints, content."""
     url, title, content = (F.lower(F.coalesce(c, F.lit(""))) for c in (url, title, content))
-    has = lambda c, p: c.rlike(bounded(p))
-    either = lambda u, t: has(url, u) | has(title, t)
-    calls = F.regexp_count(content, F.lit(rf"{LEFT}(?:get|post|put|delete|patch)\s+/"))
-    badge = content.rlike(rf"{LEFT}(?:get|post|put|delete|patch)\s+(?:/v\d+|/api)") | has(content, r"request\s+body|response\s+body|status\s+code\s+200")
-    one = (calls == 1) | (badge & has(title, "create|delete|update|get|list|cancel|parse"))
-    return (
-        F.when(either("changelog|releases?|version-history", "changelog|release notes"), F.when(F.contains(url, F.lit("release")), "release_notes").otherwise("changelog"))
-        .when(either("faq", "faq|frequently asked questions"), "faq")
-        .when(either("troubleshooting|error-codes|error-handling|debugging|errors", "troubleshooting|error codes|error handling|common errors"), "troubleshooting")
-        .when(either("webhook|webhooks", "webhooks?"), "webhook")
-        .when(either("auth|authentication|oauth|rate-limit|api-key|tokens?|security", "authentication|rate limiting|api keys?|oauth 2|authorization"), "authentication")
-        .when(either("schemas?|models?|data-models?|types?", "object schema|data model|schema definition"), "schema")
-        .when(one, "endpoint")
-        .when((calls > 1) | either("api-reference|api-docs?|endpoints?|reference", "api reference|endpoints?"), "api_reference")
-        .when(either("tutorials?|getting-started|walkthrough", "tutorial|step-by-step|getting started"), "tutorial")
-        .when(either("guides?|how-to|recipes?", "guide|how to"), "guide")
-        .when(either("concepts?|architecture|fundamentals|core-concepts", "concepts?|architecture|overview"), "concept")
-        .when(url.rlike(r"(?:/docs/?$|/api/docs/?$|/index(?:\.html)?$)") | has(title, "overview|introduction|welcome|quickstart") | (depth == 0), "documentation_overview")
-        .otherwise("other_documentation")
-    )
+    has = lambda c, p: c.rlike(bounded(p)) if p else F.lit(False)
+    calls = F.regexp_count(content, F.lit(CALL))
+    extra = {
+        "endpoint": (calls == 1) | ((content.rlike(VERSIONED_CALL) | has(content, CALL_PARTS)) & has(title, CALL_VERBS)), "api_reference": calls > 1,
+        "documentation_overview": url.rlike(OVERVIEW) | (depth == 0),
+    }
+    kind = F.lit("other_documentation")
+    for name, signs in reversed(PAGE_TYPES.items()):
+        fits = extra.get(name, F.lit(False))
+        fits = fits if signs is None else fits | has(url, signs[0]) | has(title, signs[1])
+        kind = F.when(fits, F.when(F.contains(url, F.lit("release")), "release_notes").otherwise(name) if name == "changelog" else F.lit(name)).otherwise(kind)
+    return kind

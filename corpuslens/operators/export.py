@@ -48,6 +48,14 @@ def agents_md(title: str, dependencies: DataFrame, endpoints: DataFrame, pitfall
     return out.select(F.concat(F.lit(f"# {title}\n\n"), F.concat_ws("\n\n", *[f"`{n}`" for n, _ in parts]), F.lit("\n")).alias("document"))
 
 
+def claude_md(title: str, dependencies: DataFrame, endpoints: DataFrame, pitfalls: DataFrame, recipes: DataFrame) -> DataFrame:
+    """The instructions file of a coding assistant: the agents' file with recipes (goal, step, title) after it."""
+    steps = _lines(recipes, F.concat(F.lit("- "), "goal", F.lit(", step "), "step", F.lit(": "), "title"), "goal", "step")
+    part = steps.select(F.lit(0).alias("k"), F.concat(F.lit("\n## Recipes\n\n"), F.when(F.col("body") == "", "None recorded.").otherwise(F.col("body")), F.lit("\n")).alias("more"))
+    base = agents_md(title, dependencies, endpoints, pitfalls).withColumn("k", F.lit(0))
+    return base.join(F.broadcast(part), "k").select(F.concat("document", "more").alias("document"))
+
+
 def skill_md(name: str, description: str, pages: DataFrame) -> DataFrame:
     body = _lines(pages, F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")), "url")
     return body.select(F.concat(F.lit(f"---\nname: {name}\ndescription: {description}\n---\n\n# {name}\n\n"), "body", F.lit("\n")).alias("document"))

@@ -8,25 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import LEFT, short_id
+from ..functions.text import LEFT, RIGHT, short_id
 
 #: Fixed values: (type, severity, pattern) looked for in every line.
 LINE_RULES = (
-    ("prompt_injection_suspected", "high", rf"(?i){LEFT}(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+instructions"),
+    ("prompt_injection_suspected", "high", rf"(?i){LEFT}(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+instructions{RIGHT}"),
     ("prompt_injection_suspected", "high", rf"(?i){LEFT}(?:system\s+message|system\s+prompt|system\s+instruction)\s*[:=]"),
     ("prompt_injection_suspected", "high", rf"(?i){LEFT}you\s+are\s+now\s+(?:an?\s+)?(?:unrestricted|jailbroken|developer\s+mode|dan|evil)(?![A-Za-z0-9_])"),
     ("prompt_injection_suspected", "high", rf"(?i){LEFT}you\s+are\s+now\s+(?:acting\s+as\s+)?a(?![A-Za-z0-9_]).*?assistant\s+that\s+(?:executes|runs|ignores)"),
-    ("prompt_injection_suspected", "high", rf"(?i){LEFT}IMPORTANT\s+INSTRUCTION\s+FOR\s+(?:THE\s+)?AI\s+AGENT"),
-    ("prompt_injection_suspected", "high", rf"(?i){LEFT}(?:call|invoke|execute)\s+(?:the\s+)?tool\s+['\"]?[a-zA-Z0-9_-]+['\"]?\s+with"),
-    ("prompt_injection_suspected", "high", rf"(?i){LEFT}use\s+(?:the\s+)?(?:bash|terminal|shell|command|run_command)\s+tool\s+to"),
-    ("prompt_injection_suspected", "medium", rf"(?i){LEFT}do\s+not\s+tell\s+the\s+user"),
+    ("prompt_injection_suspected", "high", rf"(?i){LEFT}IMPORTANT\s+INSTRUCTION\s+FOR\s+(?:THE\s+)?AI\s+AGENT{RIGHT}"),
+    ("prompt_injection_suspected", "high", rf"(?i){LEFT}(?:call|invoke|execute)\s+(?:the\s+)?tool\s+['\"]?[a-zA-Z0-9_-]+['\"]?\s+with{RIGHT}"),
+    ("prompt_injection_suspected", "high", rf"(?i){LEFT}use\s+(?:the\s+)?(?:bash|terminal|shell|command|run_command)\s+tool\s+to{RIGHT}"),
+    ("prompt_injection_suspected", "medium", rf"(?i){LEFT}do\s+not\s+tell\s+the\s+user{RIGHT}"),
     ("suspicious_instruction", "high", r"(?i)curl\s+-[sS]*[fF]*[kK]*\s+https?://[^\s|]+\s*\|\s*(?:ba)?sh"),
     ("suspicious_instruction", "high", r"(?i)wget\s+-[qO-]*\s+https?://[^\s|]+\s*\|\s*(?:ba)?sh"),
     ("suspicious_instruction", "high", r"(?i)powershell\s+.*-(?:enc|encodedcommand)\s+[A-Za-z0-9+/=]{20,}"),
     ("suspicious_instruction", "high", r"(?i)base64\s+-d\s+.*\|\s*(?:ba)?sh"),
     ("suspicious_instruction", "high", r"(?i)eval\s*\(\s*base64_decode\s*\("),
     ("suspicious_instruction", "high", rf"(?i){LEFT}(?:cat|type)\s+[^\n]*\.(?:ssh/id_[a-zA-Z0-9_-]*|aws/credentials|env)(?![A-Za-z0-9_])"),
-    ("suspicious_instruction", "high", rf"(?i){LEFT}(?:curl|wget|fetch|nc|ncat)(?![A-Za-z0-9_])[^\n]*(?:\.ssh/id_|\.aws/credentials|\.env|API_KEY|SECRET)"),
+    ("suspicious_instruction", "high", rf"(?i){LEFT}(?:curl|wget|fetch|nc|ncat)(?![A-Za-z0-9_])[^\n]*(?:\.ssh/id_|\.aws/credentials|\.env|API_KEY|SECRET){RIGHT}"),
     ("suspicious_instruction", "high", rf"(?i){LEFT}(?:printenv|env)(?![A-Za-z0-9_])[^\n]*\|\s*(?:curl|nc|wget|base64)"),
     ("unsafe_link", "high", r"(?i)\[[^\]]*\]\((?:javascript|data|file):[^)]*\)"),
 )
@@ -68,17 +68,26 @@ FRAMEWORKS = (
 )
 
 
+#: Every rule needs one of these: texts and lines without them are not looked at further.
+_HINT = r"(?i)instruction|system|you\s+are\s+now|tool|tell\s+the\s+user|curl|wget|fetch|powershell|base64|env|(?<![a-z0-9_])(?:cat|type|nc|ncat)(?![a-z0-9_])|\]\((?:javascript|data|file):"
+
+
 def security_annotations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, type, line, evidence, severity). A line is kept only if one of the rules fits;
-    the rules are one array of structs, so nothing is joined."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = d.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    """(id, type, line, evidence, severity). Texts and lines that may hold something are
+    looked at by all rules, which are one array of structs, so nothing is joined."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_HINT))
+    lines = d.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(_HINT))
     rules = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(t).alias("type"), F.trim(F.regexp_extract("text", p, 0)).alias("evidence"), F.lit(s).alias("severity"))) for t, s, p in LINE_RULES])
     found = lines.select("id", F.col("line") + 1, F.explode(F.array_compact(rules)).alias("r")).toDF("id", "line", "r").select("id", "r.type", "line", "r.evidence", "r.severity")
-    hidden = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), 0) for _, p in BLOCK_RULES]))
-    spans = d.select("id", "text", F.explode(hidden).alias("e"))
-    before = F.substring(F.col("text"), F.lit(1), F.instr("text", F.col("e")) - 1)
-    spans = spans.select("id", F.lit("prompt_injection_suspected").alias("type"), (F.size(F.split(before, "\n"))).alias("line"), F.trim(F.substring("e", 1, 150)).alias("evidence"), F.lit("high").alias("severity"))
+    # the line of a block: line ends in what lies between the blocks before it, and in those blocks
+    ends = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.size(F.split(t, "\n")) - 1)
+    spans = None
+    for _, p in BLOCK_RULES:
+        some = d.where(F.col("text").rlike(p)).withColumns({"e": F.regexp_extract_all("text", F.lit(p), 0), "between": F.split("text", p)})
+        each = some.select("id", "e", "between", F.posexplode("e").alias("i", "evidence"))
+        line = 1 + ends(F.slice("between", F.lit(1), F.col("i") + 1)) + ends(F.slice("e", F.lit(1), F.col("i")))
+        one = each.select("id", F.lit("prompt_injection_suspected").alias("type"), line.alias("line"), F.trim(F.substring("evidence", 1, 150)).alias("evidence"), F.lit("high").alias("severity"))
+        spans = one if spans is None else spans.unionByName(one)
     return found.unionByName(spans)
 
 

@@ -9,17 +9,20 @@ from ..functions.text import leading_method, search_tokens
 from . import index
 
 
-def entity_search(queries: DataFrame, rows: DataFrame, id_col: str, cols: list[str], limit: int, filters: Column | None = None, first: Column | None = None) -> DataFrame:
+def entity_search(queries: DataFrame, rows: DataFrame, id_col: str, cols: list[str], limit: int, filters: Column | None = None, first: Column | None = None, pairs: Column | None = None, last: Column | None = None) -> DataFrame:
     """queries (query_id, query): BM25 over the columns, tokens of four and more letters as
-    prefixes; queries without a hit fall back to rows that contain any token. `filters`
-    apply before the limit, `first` is an order that comes before the score."""
+    prefixes; queries without a hit fall back to rows that contain any token. `filters` on
+    rows and `pairs` on rows with their query's other columns apply before the limit; `first`
+    is an order that comes before the score, `last` one that comes after it."""
     kept = rows if filters is None else rows.where(filters)
     tokens = search_tokens(F.col("query"))
     hits = index.bm25(index.index_terms(kept, id_col, cols), index.query_units(queries, tokens, prefix_from=4))
     spare = index.any_token_fallback(queries, hits, kept, id_col, cols, tokens).withColumn("score", F.lit(0.0))
     found = hits.select("query_id", "id", "score").unionByName(spare.select("query_id", "id", "score"))
     named = found.join(kept.withColumnRenamed(id_col, "id"), "id")
-    order = ([first] if first is not None else []) + [F.desc("score"), F.col("id")]
+    if pairs is not None:
+        named = named.join(queries.drop("query"), "query_id").where(pairs)
+    order = [c for c in (first, F.desc("score"), last, F.col("id")) if c is not None]
     return index.top_k(named, limit, *order).withColumnRenamed("id", id_col)
 
 
@@ -32,9 +35,8 @@ def find_api(queries: DataFrame, endpoints: DataFrame, version: str | None = Non
     method, rest = leading_method(F.col("query"))
     q = queries.select("query_id", method.alias("want"), rest.alias("query"))
     rows = endpoints if "doc_version" in endpoints.columns else endpoints.withColumn("doc_version", F.lit(None).cast("string"))
-    found = entity_search(q, rows, "endpoint_id", ["path", "summary"], 10 * limit, version_or_null(version)).drop("position")
-    found = found.join(F.broadcast(q.select("query_id", "want")), "query_id").where(F.col("want").isNull() | (F.upper("method") == F.col("want")))
-    return index.top_k(found, limit, F.desc("score"), F.col("endpoint_id"))
+    same = F.col("want").isNull() | (F.upper("method") == F.col("want"))
+    return entity_search(q, rows, "endpoint_id", ["path", "summary"], limit, version_or_null(version), pairs=same)
 
 
 def find_example(queries: DataFrame, examples: DataFrame, language: str | None = None, framework: str | None = None, limit: int = 5) -> DataFrame:
@@ -47,7 +49,7 @@ def find_example(queries: DataFrame, examples: DataFrame, language: str | None =
 
 def find_pitfall(queries: DataFrame, pitfalls: DataFrame, kind: str | None = None, version: str | None = None, limit: int = 5) -> DataFrame:
     same = version_or_null(version) if "doc_version" in pitfalls.columns else F.lit(True)
-    return entity_search(queries, pitfalls, "pitfall_id", ["title", "content"], limit, same if kind is None else same & (F.col("kind") == kind))
+    return entity_search(queries, pitfalls, "pitfall_id", ["title", "content"], limit, same if kind is None else same & (F.col("kind") == kind), last=F.col("kind"))
 
 
 def assemble_recipe(goal: str, chunks: list[dict], endpoints: list[dict], examples: list[dict], pitfalls: list[dict]) -> dict:
@@ -73,8 +75,21 @@ def assemble_recipe(goal: str, chunks: list[dict], endpoints: list[dict], exampl
     for found, what in ((endpoints, "endpoints"), (examples, "examples"), (chunks, "documentation")):
         if not found:
             missing.append(f"No {what} found for: {goal}")
-    grounded = sum(s["evidence"] == "documented" for s in steps)
-    return {"goal": goal, "steps": steps, "missing_information": missing, "pitfalls": [p["title"] for p in pitfalls], "confidence": round(grounded / len(steps), 2) if steps else 0.0}
+    facts = sum(s["evidence"] == "documented" for s in steps)
+    checks = [{"title": c["title"], "source": c["chunk_id"]} for c in chunks if any(w in (c["title"] or "").lower() for w in ("verify", "validat", "test", "check"))]
+    needs = [{"title": c["title"], "source": c["chunk_id"]} for c in chunks if any(w in f"{c['title']} {c.get('content')}".lower() for w in ("prerequisite", "environment variable", "api key", "requires"))]
+    confidence = recipe_confidence(facts, len(steps), bool(endpoints), bool(examples), bool(checks))
+    return {"goal": goal, "steps": steps, "prerequisites": needs, "validation": checks, "missing_information": missing, "pitfalls": [p["title"] for p in pitfalls], "confidence": confidence}
+
+
+#: What documented steps (by their share), endpoints, examples and documented checks add to a recipe's confidence.
+CONFIDENCE = {"steps": 0.4, "endpoints": 0.3, "examples": 0.2, "checks": 0.1}
+
+
+def recipe_confidence(facts: int, steps: int, endpoints: bool, examples: bool, checks: bool) -> float:
+    if not facts:
+        return 0.0
+    return round(min(1.0, CONFIDENCE["steps"] * facts / steps + CONFIDENCE["endpoints"] * endpoints + CONFIDENCE["examples"] * examples + CONFIDENCE["checks"] * checks), 2)
 
 
 def recipe(goal: str, spark, chunks: DataFrame, endpoints: DataFrame, examples: DataFrame, pitfalls: DataFrame, limit: int = 10) -> dict:

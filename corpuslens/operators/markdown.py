@@ -25,7 +25,7 @@ PAGE_SCHEMA = (
     "page_id string, title string, markdown string, headings array<struct<level:int,text:string,anchor:string>>, "
     "links array<struct<text:string,url:string,is_external:boolean>>, code array<struct<language:string,code:string>>"
 )
-CHUNK_SCHEMA = "page_id string, ordinal long, title string, section_path array<string>, content string, chunk_type string, token_estimate long, code array<struct<language:string,code:string>>"
+CHUNK_SCHEMA = "page_id string, ordinal long, part long, title string, section_path array<string>, content string, chunk_type string, token_estimate long, code array<struct<language:string,code:string>>"
 
 
 def anchor(text: str) -> str:
@@ -262,10 +262,10 @@ def slice_markdown(markdown: str, title: str, max_tokens: int = MAX_TOKENS, targ
                 size = 0
             groups[-1].append(p)
             size += n
-        for g in groups:
+        for n, g in enumerate(groups):
             text = "\n\n".join(p[1] for p in g)
             code = [{"language": p[2] or None, "code": re.sub(r"^\s*[`~]{3,}[^\n]*\n?|\n?\s*[`~]{3,}\s*$", "", p[1])} for p in g if p[0] == "code"]
-            out.append({"ordinal": len(out), "title": path[-1], "section_path": path, "content": text, "chunk_type": chunk_kind(g, text), "token_estimate": tokens(text), "code": code})
+            out.append({"ordinal": len(out), "part": n, "title": path[-1], "section_path": path, "content": text, "chunk_type": chunk_kind(g, text), "token_estimate": tokens(text), "code": code})
     return out
 
 
@@ -277,7 +277,7 @@ def slice_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, target: int = TA
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [{"page_id": p} | c for p, t, m in zip(b["page_id"], b["title"], b["markdown"]) for c in slice_markdown(m, t, max_tokens, target)]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "title", "section_path", "content", "chunk_type", "token_estimate", "code"])
+            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "part", "title", "section_path", "content", "chunk_type", "token_estimate", "code"])
 
     chunks = pages.select(*keep).mapInPandas(run, CHUNK_SCHEMA)
     if "doc_version" in pages.columns:
@@ -296,10 +296,13 @@ def chunk_edges(chunks: DataFrame) -> DataFrame:
     edges = forward.select(F.col("chunk_id").alias("src"), F.col("next").alias("dst"), F.lit("next").alias("type"))
     edges = edges.unionByName(forward.select(F.col("next").alias("src"), F.col("chunk_id").alias("dst"), F.lit("previous").alias("type")))
     edges = edges.unionByName(forward.where("chunk_type in ('prose', 'warning') and next_type in ('code', 'example')").select(F.col("chunk_id").alias("src"), F.col("next").alias("dst"), F.lit("explains_code").alias("type")))
-    roots = c.withColumn("first", F.row_number().over(W.partitionBy("page_id", "path").orderBy("ordinal"))).where("first = 1")
-    parent = roots.select("page_id", F.col("path").alias("parent_path"), F.col("chunk_id").alias("dst"))
-    child = c.where("size(section_path) > 1").select("page_id", F.col("chunk_id").alias("src"), F.expr("array_join(slice(section_path, 1, size(section_path) - 1), ' > ')").alias("parent_path"))
-    return edges.unionByName(child.join(parent, ["page_id", "parent_path"]).select("src", "dst", F.lit("parent_section").alias("type")))
+    # a section's further parts belong to its first one, a first one to the last earlier section around it
+    c = c if "part" in chunks.columns else c.withColumn("part", F.lit(0))
+    around = F.when(F.col("part") > 0, F.col("path")).when(F.size("section_path") > 1, F.array_join(F.slice("section_path", F.lit(1), F.size("section_path") - 1), " > "))
+    roots = c.where("part = 0").select("page_id", F.col("path").alias("around"), F.col("chunk_id").alias("dst"), F.col("ordinal").alias("at"))
+    parts = c.select("page_id", F.col("chunk_id").alias("src"), "ordinal", around.alias("around")).where("around is not null")
+    parent = parts.join(roots, ["page_id", "around"]).where("at < ordinal").groupBy("src").agg(F.max_by("dst", "at").alias("dst"))
+    return edges.unionByName(parent.select("src", "dst", F.lit("parent_section").alias("type")))
 
 
 #: Symbol kinds and the patterns that show them, in order.
