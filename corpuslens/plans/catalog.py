@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, fixtures
+from . import corpus, engine, fixtures
 
-QUERIES: dict = {**corpus.QUERIES, **fixtures.QUERIES}
-ORACLES: dict = {**corpus.ORACLES, **fixtures.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **fixtures.QUERIES, **engine.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **fixtures.ORACLES, **engine.ORACLES}

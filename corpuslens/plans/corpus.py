@@ -70,24 +70,23 @@ def bm25_or(spark, sf):
 
 
 def bm25_prefix(spark, sf):
-    q = _queries(spark, sf).withColumn("start", F.get(F.filter(T.search_tokens(F.col("query")), lambda w: F.length(w) >= 4), F.lit(0))).where("start is not null")
-    units = index.query_units(q, F.array("start"), prefix_from=4)
+    """Every word of four and more letters of an item, as a beginning."""
+    units = index.query_units(_queries(spark, sf), F.filter(T.search_tokens(F.col("query")), lambda w: F.length(w) >= 4), prefix_from=4)
     hits = index.unit_counts(_index(spark, sf), units)
     return hits.groupBy("query_id").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
 def bm25_phrase(spark, sf):
-    first = lambda c: F.array_join(F.slice(T.terms(c), 1, 3), "-")
-    units = index.query_units(_queries(spark, sf).withColumn("p", first(F.col("query"))), F.array("p"))
+    """Whole items as phrases."""
+    units = index.query_units(_queries(spark, sf), F.array(F.array_join(T.terms(F.col("query")), "-")))
     hits = index.unit_counts(_index(spark, sf), units)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.col("tf").cast("long").alias("tf"))
 
 
 def like_fallback(spark, sf):
-    """Queries of letters that no term equals still find texts that contain them."""
-    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.concat(F.substring("text", 2, 7), F.lit(""))).alias("query"))
-    none = spark.createDataFrame([], "query_id long")
-    hits = index.any_token_fallback(q, none, t(spark, sf, "documents"), "doc_id", ["text"], F.array("query"))
+    """Items that a search has not found (here: those of even number) are looked for as they stand, in any case."""
+    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"))
+    hits = index.any_token_fallback(q, q.where("query_id % 2 = 1"), t(spark, sf, "documents"), "doc_id", ["text"], F.array("query"))
     return hits.groupBy("query_id").agg(F.count("*").alias("docs"))
 
 
@@ -109,8 +108,8 @@ def hybrid_search(spark, sf):
 
 
 def retrieval_metrics(spark, sf):
-    """Relevant to an item: the labelled documents of good quality that hold its first 40 characters."""
-    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("p"))
+    """Relevant to an item: the labelled documents of good quality that hold it."""
+    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("p"))
     good = t(spark, sf, "labels").where("quality = 1").join(t(spark, sf, "documents"), "doc_id")
     rel = good.join(F.broadcast(b), F.contains("text", "p")).select("query_id", F.col("doc_id").alias("id")).distinct()
     ranked = bm25_or(spark, sf).withColumnRenamed("doc_id", "id")
@@ -124,11 +123,17 @@ def pack_context(spark, sf):
 
 
 def security_annotations(spark, sf):
-    return extract.security_annotations(t(spark, sf, "documents"), "doc_id", "text")
+    """Every document with the number of its lines' findings, and of its hidden blocks."""
+    d = t(spark, sf, "documents")
+    found = extract.security_annotations(d, "doc_id", "text").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("notes"))
 
 
 def pitfall_scan(spark, sf):
-    return extract.extract_pitfalls(t(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    """Every document with the number of its pitfalls."""
+    d = t(spark, sf, "documents")
+    found = extract.extract_pitfalls(d.select("doc_id", F.col("text").alias("content")), "doc_id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("pitfalls"))
 
 
 def license_scan(spark, sf):
@@ -175,7 +180,7 @@ def url_dedupe(spark, sf):
 
 def page_type(spark, sf):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return t(spark, sf, "pages").select("page_id", T.page_type(F.col("url"), title, title, F.lit(1)).alias("page_type"))
+    return t(spark, sf, "pages").select("page_id", T.page_type(F.col("url"), title, F.regexp_replace("html", "(?s)<[^>]*>", " "), F.regexp_count(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/[^/]+"))).alias("page_type"))
 
 
 def crawl_skip_reason(spark, sf):
@@ -235,6 +240,11 @@ kept AS (SELECT page_id, u, list_filter(string_split(u.q, '&'), lambda x: x <> '
 canon AS (SELECT page_id, u.s || '://' || lower(u.h) || CASE WHEN u.p = '' THEN '/' ELSE regexp_replace(regexp_replace(u.p, '/+', '/', 'g'), '(.)/$', '\1') END
   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS url FROM kept)"""  # noqa: E501
 
+def _quoted(pattern: str) -> str:
+    """A rule's pattern for an engine without look-around: its word boundaries are ASCII ones."""
+    return "'" + pattern.replace(T.LEFT, r"\b").replace(T.RIGHT, r"\b").replace("'", "''") + "'"
+
+
 ORACLES = {
     "content_hash": f"SELECT doc_id, {_HASH} AS content_hash, {_TOKENS.format('text')} AS tokens FROM documents",
     "exact_dedupe": f"SELECT {_HASH} AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
@@ -247,20 +257,24 @@ ORACLES = {
     "search_tokens": f"SELECT item_id, array_to_string({_SEARCH}, ' ') AS tokens, {_INTENT} AS intent FROM benchmark",
     "bm25_or": _BM25 + "SELECT query_id, doc_id, score, position FROM ranked WHERE position <= 10",
     "bm25_prefix": f"""
-WITH starts AS (SELECT item_id AS query_id, (list_filter({_SEARCH}, lambda w: length(w) >= 4))[1] AS token FROM benchmark),
-one AS (SELECT query_id, {_TERMS.format("token")} AS terms FROM starts WHERE token IS NOT NULL),
-words AS (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents)
-SELECT query_id, count(DISTINCT doc_id) AS docs, count(*) AS tf FROM one JOIN words ON starts_with(term, terms[1]) WHERE len(terms) = 1 GROUP BY query_id""",
+WITH tokens AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_SEARCH}, lambda w: length(w) >= 4))) AS token FROM benchmark),
+one AS (SELECT query_id, token, terms[1] AS term FROM (SELECT *, {_TERMS.format("token")} AS terms FROM tokens) WHERE len(terms) = 1),
+words AS (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS n FROM words GROUP BY ALL),
+hits AS (SELECT query_id, token, doc_id, sum(n) AS tf FROM one JOIN counted ON left(counted.term, 3) = left(one.term, 3) AND starts_with(counted.term, one.term) GROUP BY ALL)
+SELECT query_id, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY query_id""",
     "bm25_phrase": f"""
-WITH lines AS (SELECT doc_id, ' ' || array_to_string({_TERMS.format("text")}, '  ') || ' ' AS s FROM documents), q AS (SELECT item_id AS query_id, ({_TERMS.format("text")})[1:3] AS terms FROM benchmark)
+WITH lines AS (SELECT doc_id, ' ' || array_to_string({_TERMS.format("text")}, '  ') || ' ' AS s FROM documents), q AS (SELECT item_id AS query_id, {_TERMS.format("text")} AS terms FROM benchmark)
 SELECT * FROM (SELECT query_id, doc_id, {_TIMES} AS tf FROM q, lines) WHERE tf > 0""",
-    "like_fallback": "SELECT item_id AS query_id, count(*) AS docs FROM (SELECT item_id, lower(substring(text, 2, 7)) AS p FROM benchmark) JOIN documents ON contains(lower(text), p) GROUP BY 1",
+    "like_fallback": "SELECT item_id AS query_id, count(*) AS docs FROM (SELECT item_id, lower(text) AS p FROM benchmark WHERE item_id % 2 = 0) JOIN documents ON contains(lower(text), p) GROUP BY 1",
     "retrieval_metrics": _BM25 + """,
-rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, substring(benchmark.text, 1, 40)) JOIN labels USING (doc_id) WHERE quality = 1),
+rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) JOIN labels USING (doc_id) WHERE quality = 1),
 top AS (SELECT query_id, doc_id, position, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM rel) AS hit FROM ranked WHERE position <= 3),
 per AS (SELECT query_id, count(*) FILTER (hit) AS hits, count(*) AS shown, min(position) FILTER (hit) AS first FROM top GROUP BY 1),
 totals AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1)
 SELECT query_id, round(coalesce(hits / shown, 0.0), 6) AS precision, round(coalesce(hits / relevant, 0.0), 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS reciprocal_rank FROM totals LEFT JOIN per USING (query_id)""",
+    "security_annotations": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents), n AS (SELECT doc_id, sum(" + " + ".join(f"CAST(regexp_matches(p, {_quoted(r[2])}) AS BIGINT)" for r in extract.LINE_RULES) + ") AS n FROM l GROUP BY 1) SELECT doc_id, CAST(coalesce(n, 0) + " + " + ".join(f"len(regexp_extract_all(text, {_quoted(r[1])}))" for r in extract.BLOCK_RULES) + " AS BIGINT) AS notes FROM documents LEFT JOIN n USING (doc_id)",
+    "pitfall_scan": "SELECT doc_id, CAST(" + " + ".join(f"CAST(regexp_matches(text, {_quoted(r[2])}) AS BIGINT)" for r in extract.PITFALLS) + " AS BIGINT) AS pitfalls FROM documents",
     "license_scan": "SELECT doc_id, i AS line, trim(p, ' ') AS snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) WHERE contains(lower(p), 'license')",
     "html_title": rf"""WITH x AS (SELECT page_id, {_UNESCAPE.format(_TITLE)} AS r FROM pages)
 SELECT page_id, trim(regexp_extract(r, '^(.*?)(?:\s[|\-–—]\s.*)?$', 1), ' ') AS title,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import versions as V
+from ..functions.ranking import PURPOSES
 from ..functions.ranking import rank_sources as rank
 from ..operators import changes
 
@@ -88,11 +89,20 @@ def _table(rows, cols):
     return f"(SELECT * FROM (VALUES {rows.replace('D,', ',')}) AS t({cols}))"
 
 
+_WEIGHTS = ", ".join(f"('{p}', '{t}', {w})" for p, ts in PURPOSES.items() for t, w in ts.items())
+_RANKED = f"""
+WITH s AS (SELECT * FROM {_table(_SOURCES, 'url, type, authority, status, confidence, machine_readable')}), w(purpose, type, weight) AS (VALUES {_WEIGHTS}),
+scored AS (SELECT purpose, url, status, CASE status WHEN 'unreachable' THEN 0.0 WHEN 'invalid' THEN 0.05 ELSE least(1.0, (CAST(weight AS DOUBLE)
+  * CASE authority WHEN 'official' THEN 1.0 WHEN 'community' THEN 0.8 ELSE 0.6 END + CASE WHEN machine_readable THEN 0.05 ELSE 0.0 END) * CAST(confidence AS DOUBLE)) END AS score FROM s JOIN w USING (type)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY purpose ORDER BY score DESC, url) AS position FROM scored)
+SELECT purpose, url, CAST(round(score, 6) AS DOUBLE) AS score, position, position = min(position) FILTER (status = 'valid') OVER (PARTITION BY purpose) AS recommended FROM ranked"""
+
 #: Expected results by hand: what the fixtures state in their last column, or the rows themselves.
 ORACLES = {
     "semver_compare": f"SELECT a, b, CAST(s AS BIGINT) AS sign FROM (SELECT *, row_number() OVER () AS r FROM {_table(_PAIRS, 'a, b')}) JOIN (VALUES (1,-1),(2,0),(3,0),(4,-1),(5,1),(6,1),(7,-1),(8,-1)) AS e(r, s) USING (r)",
     "satisfies_range": f"SELECT version, range, expected AS fits FROM {_table(_RANGES, 'version, range, expected')}",
     "version_ladder": "SELECT * FROM (VALUES ('a','14.2.3','v14','major',0.9),('b','14.2.3','14.2.3','exact',1.0),('b','^14.2.0','14.2','major_minor',0.95),('c','14.2.3','stable','latest_fallback',0.5),('d','14.2.3','14.2.x','major_minor',0.95),('e','14.2.3','>=14.0.0','range',0.85),('f','1.0.0','unresolved','unresolved',0.0)) AS t(project, version, selected, match_type, confidence)",
+    "rank_sources": _RANKED,
     "api_path_match": f"SELECT candidate, template, expected AS fits FROM {_table(_PATHS, 'candidate, template, expected')}",
     "blocked_ip": f"SELECT ip, expected AS blocked FROM {_table(_IPS, 'ip, expected')}",
     "endpoint_diff": "SELECT * FROM (VALUES ('GET','/v1/a','modified'),('POST','/v1/b','deprecated'),('GET','/v1/d','removed'),('GET','/v1/e','added')) AS t(method, path, change)",
