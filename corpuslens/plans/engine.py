@@ -146,7 +146,7 @@ def page_kinds(spark, sf):
 # --- contracts
 
 @query
-def openapi_parsed(spark, sf):
+def spec_endpoints(spark, sf):
     e = contracts.openapi_endpoints(rows(spark, "page_id string, body string", ("p", SPEC), ("q", "{broken"), ("r", None)))
     return e.select("method", "path", "summary", "deprecated", flat(F.transform("parameters", lambda p: F.concat_ws(":", p["name"], p["location"], p["required"], p["type"]))).alias("parameters"), flat("request_required").alias("required"), flat("request_fields").alias("fields"), flat("response_fields").alias("answers"), flat("errors").alias("errors"), flat("auth").alias("auth"), "paginated")
 

@@ -161,7 +161,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (None, 'other_documentation'),
         ],
     ),
-    "openapi_parsed": (
+    "spec_endpoints": (
         'method, path, summary, deprecated, parameters, required, fields, answers, errors, auth, paginated',
         [
             ('GET', '/users/{id}', 'Get one', False, 'id:path:true:string|limit:query:true:integer', '', '', 'mail|name', '404', 'key', True),
