@@ -151,6 +151,47 @@ def decode_segment(data: bytes, blocks: list[int] | None = None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+def decode_range(data: bytes, start: int, length: int) -> np.ndarray:
+    """Ids start .. start + length of a segment: only the blocks they lie in are read, the first from the checkpoint before them."""
+    if data[:5] != MAGIC:
+        raise ValueError("not a segment")
+    k, size, many = struct.unpack_from("<III", data, 5)
+    raw = np.frombuffer(zlib.decompress(data[17 : 17 + size]), "<u4")
+    symbols, f32 = np.cumsum(raw[:k], dtype=np.uint32), raw[k:]
+    f, c = _tables(f32)
+    slot = np.repeat(np.arange(k, dtype=np.uint32), f32)
+    at, first, parts = 17 + size + 4 * many, 0, []
+    for block_size in struct.unpack_from(f"<{many}I", data, 17 + size):
+        n, lanes, every, marks = struct.unpack_from("<QIII", data, at)
+        low, high = max(start, first), min(start + length, first + n)
+        if low < high:
+            mark = min(marks, (low - first) // (lanes * every))
+            ids = decode_block(data[at : at + block_size], symbols, f, c, slot, mark)
+            skipped = first + mark * lanes * every
+            parts.append(ids[low - skipped : high - skipped])
+        at, first = at + block_size, first + n
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def read_documents(segments: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, ids) of the wanted documents, out of written segments: segments without
+    any are not decoded, the others only where the documents lie. A null id is not looked up."""
+    keys = ["part", "segment_no"]
+    lens = F.transform("doc_tokens", lambda x, i: F.struct(x.alias("n"), F.get("doc_ids", i).alias("doc_id"), i.alias("i")))
+    rows = segments.select(*keys, F.explode(lens).alias("d"), "doc_tokens").select(*keys, "d.*", F.aggregate(F.slice("doc_tokens", F.lit(1), F.col("d.i")), F.lit(0).cast("long"), lambda s, x: s + x).alias("at"))
+    ids = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    hits = rows.join(ids, "doc_id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "n"))).alias("spots"))  # at most a segment's documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for spots, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [decode_range(data, s["at"], s["n"]).astype("<u4").tobytes() for s in spots]
+                arrays = [pa.array([s["doc_id"] for s in spots], pa.int64()), pa.array([s["n"] for s in spots], pa.int64()), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids"])
+
+    return segments.select(*keys, "data").join(hits, keys).select("spots", "data").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+
 def encode_corpus(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1,
     partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS,

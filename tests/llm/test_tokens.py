@@ -102,3 +102,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(none).count() == 0
     assert rans.round_trip(none).count() == 0
+
+
+def test_ranges_and_single_documents(spark):
+    """Parts of a segment from its checkpoints, and documents looked up in written segments."""
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.3, 9_000).clip(0, 900).astype(np.uint32)
+    data = rans.encode_segment(ids, lanes=8, block_tokens=2_000, every=16)
+    for start, length in ((0, 9_000), (0, 1), (1_999, 2), (2_500, 130), (3_999, 2_002), (8_990, 50), (9_000, 5), (40, 0)):
+        assert rans.decode_range(data, start, length).tolist() == ids[start : start + length].tolist()
+    words = ["alpha", "beta!", "gamma", "x9"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(60)] + [(7, "again seven"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    segments = rans.encode_corpus(docs, partitions=3, segment_tokens=200)
+    segments.cache()
+    whole = sorted((r.doc_id, r.n_tokens, bytes(r.ids)) for r in rans.decode_corpus(segments).collect() if r.doc_id in (3, 7, 59))
+    wanted = spark.createDataFrame([(3,), (7,), (59,), (7,), (None,), (1000,)], "doc_id long")
+    assert sorted((r.doc_id, r.n_tokens, bytes(r.ids)) for r in rans.read_documents(segments, wanted).collect()) == whole
+    assert len(whole) == 4 and rans.read_documents(segments, wanted.limit(0)).count() == 0
+    segments.unpersist()
