@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bounded
 from ..functions.urls import allowed_url
+from .scratch import written
 
 #: Paths that a provider tries, in order of precedence of the providers.
 CANDIDATES = {
@@ -137,16 +138,15 @@ def crawl(seeds: DataFrame, fetch_wave: Callable[[DataFrame], DataFrame], links_
     from pyspark.sql import functions as F  # noqa: PLW0621
 
     wave = seeds.select("url", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    pages = fetch_wave(wave).cache()
+    pages = written(fetch_wave(wave), "wave")
     for depth in range(1, max_depth + 1):
         seen = pages.count()
         new = links_of(pages.where(F.col("depth") == depth - 1)).join(pages.select("url"), "url", "left_anti")
         best = new.groupBy("url").agg(F.min_by("parent", F.struct("priority", "parent")).alias("parent"), F.min("priority").alias("priority")).orderBy("priority", "url").limit(max(0, max_pages - seen))
-        wave = best.select("url", "parent", F.lit(depth).alias("depth"))
-        more = pages.unionByName(fetch_wave(wave)).cache()
-        if more.count() == seen:
-            return more
-        pages = more
+        wave = written(fetch_wave(best.select("url", "parent", F.lit(depth).alias("depth"))), "wave")
+        if not wave.take(1):
+            break
+        pages = pages.unionByName(wave)
     return pages
 
 
