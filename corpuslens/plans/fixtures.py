@@ -101,7 +101,7 @@ SELECT purpose, url, CAST(round(score, 6) AS DOUBLE) AS score, position, positio
 ORACLES = {
     "semver_compare": f"SELECT a, b, CAST(s AS BIGINT) AS sign FROM (SELECT *, row_number() OVER () AS r FROM {_table(_PAIRS, 'a, b')}) JOIN (VALUES (1,-1),(2,0),(3,0),(4,-1),(5,1),(6,1),(7,-1),(8,-1)) AS e(r, s) USING (r)",
     "satisfies_range": f"SELECT version, range, expected AS fits FROM {_table(_RANGES, 'version, range, expected')}",
-    "version_ladder": "SELECT * FROM (VALUES ('a','14.2.3','v14','major',0.9),('b','14.2.3','14.2.3','exact',1.0),('b','^14.2.0','14.2','major_minor',0.95),('c','14.2.3','stable','latest_fallback',0.5),('d','14.2.3','14.2.x','major_minor',0.95),('e','14.2.3','>=14.0.0','range',0.85),('f','1.0.0','unresolved','unresolved',0.0)) AS t(project, version, selected, match_type, confidence)",
+    "version_ladder": "SELECT project, version, selected, match_type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('a','14.2.3','v14','major',0.9),('b','14.2.3','14.2.3','exact',1.0),('b','^14.2.0','14.2','major_minor',0.95),('c','14.2.3','stable','latest_fallback',0.5),('d','14.2.3','14.2.x','major_minor',0.95),('e','14.2.3','>=14.0.0','range',0.85),('f','1.0.0','unresolved','unresolved',0.0)) AS t(project, version, selected, match_type, confidence)",
     "rank_sources": _RANKED,
     "api_path_match": f"SELECT candidate, template, expected AS fits FROM {_table(_PATHS, 'candidate, template, expected')}",
     "blocked_ip": f"SELECT ip, expected AS blocked FROM {_table(_IPS, 'ip, expected')}",
