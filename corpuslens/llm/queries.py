@@ -78,7 +78,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing, op10_toxicity)}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing, op10_toxicity, op12_exact_dedup)}
 
 _SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _SMALL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -111,4 +117,8 @@ kept AS (SELECT r, string_agg(parts.line, chr(10) ORDER BY i) AS text, count(*)
   WHERE bad.line IS NULL OR parts.doc_id = keeper GROUP BY r)
 SELECT doc_id, len(string_split(d.text, chr(10))) AS n_lines, len(string_split(d.text, chr(10))) - coalesce(n, 0) AS n_removed, coalesce(kept.text, '') AS text
 FROM d LEFT JOIN kept USING (r)""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
+g AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM g""",
 }
