@@ -78,16 +78,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import damaged, repair_turns
+
+    repaired = repair_turns(damaged(table(spark, sf_dir, "conversations")), there=F.col("there"))
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return repaired.select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"),
+    )
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing, op10_toxicity, op12_exact_dedup)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    found = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_html_text, op4_token_counts, op5_token_files, op6_url_filter, op7_line_dedup, op8_quality, op9_packing, op10_toxicity, op11_turn_repair, op12_exact_dedup, op13_ranked_search)}
 
 _SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _SMALL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = "regexp_extract_all(" + _SMALL + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op1_decontamination": f"""
@@ -117,6 +135,16 @@ kept AS (SELECT r, string_agg(parts.line, chr(10) ORDER BY i) AS text, count(*)
   WHERE bad.line IS NULL OR parts.doc_id = keeper GROUP BY r)
 SELECT doc_id, len(string_split(d.text, chr(10))) AS n_lines, len(string_split(d.text, chr(10))) - coalesce(n, 0) AS n_removed, coalesce(kept.text, '') AS text
 FROM d LEFT JOIN kept USING (r)""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+c AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+stats AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM c),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stats GROUP BY term, nd),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM q JOIN weights USING (term) JOIN tf USING (term), stats GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0) WHERE r <= 10""",
     "op12_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
 g AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM d)
