@@ -58,8 +58,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda df: df)
     members = stored(rows.join(near(groups), "h"), "members")
     first = members.where(F.col("rank") == F.col("best")).groupBy("h").agg(F.min("normal").alias("model"))
-    unlike = members.join(first, "h").where("normal != model").select("h").distinct()
-    unlike = stored(unlike, "unlike")
+    # written before it is made distinct: an aggregate on top would keep the join's hot partitions from being split
+    unlike = stored(members.join(first, "h").where("normal != model").select("h"), "unlike").distinct()
 
     def told(found: DataFrame) -> DataFrame:
         best = F.coalesce("best", "rank")
