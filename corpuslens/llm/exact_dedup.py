@@ -57,8 +57,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(narrow.groupBy("h").agg(*of_rank).where("n > 1"), "groups")
     near = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda df: df)
     members = stored(rows.join(near(groups), "h"), "members")
-    first = members.where(F.col("rank") == F.col("best")).groupBy("h").agg(F.min("normal").alias("model"))
-    # written before it is made distinct: an aggregate on top would keep the join's hot partitions from being split
+    # the models and what differs are written: an aggregate beside or on top of the join would keep its hot partitions from being split
+    first = stored(members.where(F.col("rank") == F.col("best")).groupBy("h").agg(F.min("normal").alias("model")), "models")
     unlike = stored(members.join(first, "h").where("normal != model").select("h"), "unlike").distinct()
 
     def told(found: DataFrame) -> DataFrame:
