@@ -104,6 +104,16 @@ class Store:
         else:
             self._publish(state)
 
+    def parts(self, name: str) -> dict[str, str]:
+        """Folders of a table in force, by name: for tables that are not dealt by keys."""
+        return dict(self._state()["tables"].get(name, {}))
+
+    def put(self, tables: dict[str, dict[str, str]]) -> None:
+        """Put folders of several such tables in force at once."""
+        with self.transaction():
+            for name, parts in tables.items():
+                self._change(name, parts)
+
     def _bucket(self, name: str, rows: DataFrame) -> Column:
         keys, _, parent = TABLES[name]
         return F.pmod(F.xxhash64(F.col(parent if name in BY_PARENT and parent in rows.columns else keys[0]).cast("string")), F.lit(self.buckets)).cast("int")
