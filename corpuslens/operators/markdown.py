@@ -89,7 +89,7 @@ class _Markdown(HTMLParser):
             self.write("\n\n---\n\n")
         elif tag == "blockquote":
             self.write("\n\n> ")
-        elif tag in ("p", "div", "section", "article", "main"):
+        elif tag in ("p", "div", "section", "article", "main", "details", "summary"):
             self.write("\n\n")
 
     def handle_endtag(self, tag: str) -> None:
@@ -145,7 +145,7 @@ class _Markdown(HTMLParser):
             if self.lists:
                 self.lists.pop()
             self.write("\n\n")
-        elif tag in ("p", "table", "blockquote", "div"):
+        elif tag in ("p", "table", "blockquote", "div", "details", "summary"):
             self.write("\n\n")
 
     def handle_data(self, data: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, engine, fixtures, search
+from . import corpus, search
 
-QUERIES: dict = {**corpus.QUERIES, **search.QUERIES, **fixtures.QUERIES, **engine.QUERIES}
-ORACLES: dict = {**corpus.ORACLES, **search.ORACLES, **fixtures.ORACLES, **engine.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **search.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **search.ORACLES}

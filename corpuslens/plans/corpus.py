@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import extract, index, markdown, packer
+from ..operators import extract, index, markdown
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def search_tokens(spark, sf):
     return b.select("item_id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"), T.intent(F.col("text")).alias("intent"))
 
 
+def chunk_query_words(spark, sf):
+    """Words that a chunk search asks for, of every benchmark item."""
+    return t(spark, sf, "benchmark").select("item_id", F.array_join(T.chunk_tokens(F.col("text")), "|").alias("words"))
+
+
 def _queries(spark, sf) -> DataFrame:
     return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), T.intent(F.col("text")).alias("intent"), F.lit(None).cast("string").alias("target_version"))
 
@@ -99,14 +104,6 @@ def _chunks(spark, sf) -> DataFrame:
     )
 
 
-def _search(spark, sf, limit=10):
-    return index.search(_index(spark, sf), _chunks(spark, sf), _queries(spark, sf), T.search_tokens(F.col("query")), limit)
-
-
-def hybrid_search(spark, sf):
-    return _search(spark, sf).select("query_id", F.col("id").alias("doc_id"), "hybrid", F.array_join("reasons", "; ").alias("reasons"), F.col("position").cast("long").alias("position"))
-
-
 def retrieval_metrics(spark, sf):
     """Relevant to an item: the labelled documents of good quality that hold it."""
     b = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("p"))
@@ -117,11 +114,6 @@ def retrieval_metrics(spark, sf):
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
 
 
-def pack_context(spark, sf):
-    c = _search(spark, sf, 30).select("query_id", F.col("id").cast("string").alias("id"), F.col("source").alias("page_id"), F.array_join("section_path", " > ").alias("section"), F.col("id").alias("ordinal"), "token_estimate", F.col("hybrid").alias("score"), "position")
-    return packer.pack_context(c)
-
-
 def security_annotations(spark, sf):
     """Every document with the number of its lines' findings, and of its hidden blocks."""
     d = t(spark, sf, "documents")
@@ -197,7 +189,7 @@ def json_props(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hash, exact_dedupe, source_stats, docs_map, paging, paragraph_chunks, chunk_edges, search_tokens, bm25_or, bm25_prefix, bm25_phrase, like_fallback, hybrid_search, retrieval_metrics, pack_context,
+        content_hash, exact_dedupe, source_stats, docs_map, paging, paragraph_chunks, chunk_edges, search_tokens, chunk_query_words, bm25_or, bm25_prefix, bm25_phrase, like_fallback, retrieval_metrics,
         security_annotations, pitfall_scan, license_scan, html_title, html_links, link_density, normalized_pages, page_chunks, canonical_url, url_dedupe, page_type, crawl_skip_reason, json_props,
     )
 }
@@ -255,6 +247,7 @@ ORACLES = {
       SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(p, ' ') <> '' GROUP BY doc_id""",
     "chunk_edges": "SELECT conv_id, turn, row_number() OVER w - 1 AS ordinal, coalesce(lead(turn) OVER w, -1) AS next, coalesce(lag(turn) OVER w, -1) AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "search_tokens": f"SELECT item_id, array_to_string({_SEARCH}, ' ') AS tokens, {_INTENT} AS intent FROM benchmark",
+    "chunk_query_words": f"SELECT item_id, array_to_string({_WORDS.format('text')}, '|') AS words FROM benchmark",
     "bm25_or": _BM25 + "SELECT query_id, doc_id, score, position FROM ranked WHERE position <= 10",
     "bm25_prefix": f"""
 WITH tokens AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_SEARCH}, lambda w: length(w) >= 4))) AS token FROM benchmark),

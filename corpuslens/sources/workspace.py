@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.substrings import containing
+
 SCHEMA = "file string, ecosystem string, name string, range string, dev boolean, lock boolean"
 IGNORED = r"/(?:node_modules|\.git|dist|build|vendor|target|\.venv|__pycache__)/"
 Row = tuple[str, str | None, bool]
@@ -165,11 +167,15 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def match_sources(deps: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documentation sources whose address names the dependency, parts of two letters and
-    less apart. The distinct names are few and are broadcast."""
-    bare = F.lower(F.regexp_replace("name", r"^@[^/]+/|^.*[/:]", ""))
-    names = deps.select("name", bare.alias("bare")).distinct().where(F.length("bare") > 2)
-    return sources.join(F.broadcast(names), F.contains(F.lower("url"), "bare")).select("name", "url", *[c for c in sources.columns if c != "url"])
+    """Documentation sources whose address holds the dependency's name, with its scope or without, in any case, or whose
+    own name (column metadata_name, if there is one) is the name without its scope."""
+    bare = F.lower(F.regexp_replace("name", "^@[^/]+/", ""))
+    names = deps.select("name", F.explode(F.array_distinct(F.array(bare, F.lower("name")))).alias("pattern")).where("pattern <> ''").distinct()
+    found = containing(sources.select(F.col("url").alias("id"), F.lower("url").alias("text")).distinct(), names).select("name", F.col("id").alias("url"))
+    if "metadata_name" in sources.columns:
+        own = deps.select("name", bare.alias("bare")).distinct()
+        found = found.unionByName(sources.join(own, F.lower("metadata_name") == F.col("bare")).select("name", "url"))
+    return found.distinct().join(sources, "url").select("name", "url", *[c for c in sources.columns if c != "url"])
 
 
 def lock_document(deps: DataFrame, resolved: DataFrame, previous: dict | None = None, now: str = "") -> dict:

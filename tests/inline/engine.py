@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.urls import allowed_url
-from ..operators import contracts, export, extract, index, knowledge, links, lookup, markdown, packer, pages
-from ..operators import changes as diffs
-from ..sources import discovery, tracking, workspace
+from corpuslens.functions import text as T
+from corpuslens.functions.urls import allowed_url
+from corpuslens.operators import contracts, export, extract, index, knowledge, links, lookup, markdown, packer, pages
+from corpuslens.operators import changes as diffs
+from corpuslens.sources import discovery, tracking, workspace
 from .rows import EXPECTED
 
 QUERIES: dict = {}
@@ -497,13 +497,6 @@ def exported_documents(spark, sf):
     return out
 
 
-@query
-def chunk_query_words(spark, sf):
-    """Words that a chunk search asks for, of every benchmark item."""
-    b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    return b.select("item_id", flat(T.chunk_tokens(F.col("text"))).alias("words"))
-
-
 def _sql(v) -> str:
     if v is None:
         return "NULL"
@@ -521,4 +514,3 @@ def expected_sql(columns: str, data: list[tuple]) -> str:
 
 
 ORACLES = {name: expected_sql(*EXPECTED[name]) for name in QUERIES if name in EXPECTED}
-ORACLES["chunk_query_words"] = r"SELECT item_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '[^A-Za-z0-9_\s-]', ' ', 'g')), '\s+'), lambda w: w <> ''), '|') AS words FROM benchmark"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
-from ..functions import versions as V
-from ..functions.ranking import PURPOSES
-from ..functions.ranking import rank_sources as rank
-from ..operators import changes
+from corpuslens.functions import urls as U
+from corpuslens.functions import versions as V
+from corpuslens.functions.ranking import PURPOSES
+from corpuslens.functions.ranking import rank_sources as rank
+from corpuslens.operators import changes
 
 _PAIRS = "('14.2.3','14.2.4'),('14.2.3','14.2.3'),('v15','15.0.0'),('15.0.0-rc.1','15.0.0'),('1.10.0','1.9.9'),('2','1.99.99'),('abc','1.0.0'),('1.0.0-alpha','1.0.0-beta')"
 _RANGES = (

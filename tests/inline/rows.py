@@ -20,7 +20,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('h', '## Steps'),
             ('h', '- **two**'),
             ('h', '- one'),
-            ('h', 'Guides[Guide](https://x.org/docs/guide)'),
+            ('h', 'Guides'),
+            ('h', '[Guide](https://x.org/docs/guide)'),
             ('h', 'See [the guide](https://x.org/docs/guide) and us.'),
             ('h', '[Home](https://x.org/)[Docs](https://x.org/docs/)'),
             ('h', '[Next](https://x.org/docs/next)'),
