@@ -1,13 +1,14 @@
 """A stored full-text index: posting segments as Parquet tables, with upserts and deletes.
 
-A segment is written once: its documents with their terms (`forward`), and blocks of
-postings, one row for each term and 2^BLOCK_BITS neighbouring documents: places of the
-documents in the block, frequencies, lengths and positions as arrays beside each other.
-Blocks lie in PARTS folders by term, sorted by term, so a search reads the pages of its
-terms. Nothing of a term is gathered: a common term has many blocks.
+A segment is written once, by one pass over its documents: rows for each term and
+2^BLOCK_BITS neighbouring documents hold the documents' places in the block, frequencies,
+lengths and positions as arrays beside each other; rows of the empty term hold the
+documents' ids and lengths. Rows lie in PARTS folders by term, sorted by term, so a search
+reads the pages of its terms. Nothing of a term is gathered, and nothing is shuffled: every
+task writes the rows of the documents that it reads.
 
 Upserts write a segment of the new documents and a list of the documents that they
-replace; merging writes one segment of what is left. One pointer puts segments and lists
+replace; merging writes one segment of what is left, under the numbers it has. One pointer puts segments and lists
 in force together (as for the store's tables), so a failed job leaves the index as it was.
 
 Top-k search deals the posting rows of a batch's terms by ranges of documents, the same for
@@ -28,6 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,9 +41,8 @@ from .index import B, BROADCAST_UNITS, K1, index_terms
 
 #: Documents of a block as a power of two, and folders that terms are dealt into.
 BLOCK_BITS, PARTS = 7, 16
-BLOCKS = "part int, term string, block long, n int, max_tf int, min_len int, offs array<int>, tfs array<int>, lens array<int>, places array<array<int>>"
-#: A document's number: 11 bits of segment, then Spark's increasing id (19 bits of partition, 33 of row).
-SEGMENT_BITS = 52
+#: A document's number: 19 bits of segment, 18 of task, 26 of row.
+SEGMENT_BITS, ROW_BITS = 44, 26
 #: Documents that are bounded together, and that are scored by one task at a time, as powers of two.
 SUB_BITS, CHUNK_BITS = 2, 11
 #: One of so many blocks of a query is scored before the threshold is taken: those that may score most.
@@ -52,43 +53,59 @@ BATCH_ROWS = 1024
 BROADCAST_ROWS = 200_000
 
 
-def _batch_blocks(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
-    """Posting blocks of a batch of forward rows (num, len, terms)."""
-    num, length, terms = batch.column("num").to_numpy(), batch.column("len").to_numpy(), batch.column("terms")
+def _batch_blocks(num: np.ndarray, ids: pa.Array, length: np.ndarray, terms: pa.ListArray, bits: int) -> pa.RecordBatch:
+    """Posting rows of some documents; rows of the empty term hold the ids of a block's documents."""
     words = terms.flatten().dictionary_encode()
     size = pc.list_value_length(terms).to_numpy()
     code, doc = words.indices.to_numpy(), np.repeat(np.arange(len(num)), size)
     pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    mark = words.dictionary.to_pylist().index("") if len(words.dictionary) and pc.index(words.dictionary, "").as_py() >= 0 else -1
+    mark = pc.index(words.dictionary, "").as_py()  # stands between the columns
     block = num >> bits
     # tokens come by document and position: a stable order by term and block keeps both
     order = np.lexsort((block[doc], code))
     order = order[code[order] != mark]
     code, doc, pos = code[order], doc[order], pos[order]
-    post = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))[: len(code)])  # a posting's first token
+    starts = lambda *keys: np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))[: len(keys[0])])
+    post = starts(code, doc)  # a posting's first token
     tf, p_code, p_doc = np.diff(np.concatenate((post, [len(code)]))), code[post], doc[post]
-    p_block = block[p_doc]
-    group = np.flatnonzero(np.concatenate(([True], (p_code[1:] != p_code[:-1]) | (p_block[1:] != p_block[:-1])))[: len(post)])
-    at = lambda starts, end: pa.array(np.concatenate((starts, [end])), pa.int32())
-    by = at(group, len(post))
+    group = starts(p_code, block[p_doc])
+    own = starts(block)  # blocks of the documents themselves
     ints = lambda x: pa.array(x, pa.int32())
-    lists = [pa.ListArray.from_arrays(by, ints(x)) for x in (num[p_doc] & ((1 << bits) - 1), tf, length[p_doc])]
-    places = pa.ListArray.from_arrays(by, pa.ListArray.from_arrays(at(post, len(code)), ints(pos)))
-    most, least = (np.maximum.reduceat(tf, group), np.minimum.reduceat(length[p_doc], group)) if len(group) else (group, group)
-    names = ["term", "block", "n", "max_tf", "min_len", "offs", "tfs", "lens", "places"]
-    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(p_code[group])), pa.array(p_block[group], pa.int64()), ints(np.diff(np.concatenate((group, [len(post)])))), ints(most), ints(least), *lists, places], names)
 
+    def lists(first: np.ndarray, inner: np.ndarray, second: np.ndarray, more: np.ndarray) -> pa.ListArray:
+        """Lists of the terms' rows, then of the documents' rows."""
+        return pa.ListArray.from_arrays(ints(np.concatenate((first, second + len(inner), [len(inner) + len(more)]))), ints(np.concatenate((inner, more))))
 
-def posting_blocks(forward: DataFrame, parts: int) -> DataFrame:
-    """forward (num, terms, len) -> rows of BLOCKS. Where a scan's tasks part a block, it has a row from each."""
+    none = np.zeros(len(own), np.int64)
+    empty = np.zeros(0, np.int64)
+    arrays = [
+        pa.concat_arrays([words.dictionary.take(pa.array(p_code[group])).cast(pa.string()), pa.array([""] * len(own), pa.string())]), pa.array(np.concatenate((block[p_doc[group]], block[own])), pa.int64()),
+        lists(group, num[p_doc] & ((1 << bits) - 1), own, num & ((1 << bits) - 1)), lists(group, tf, none, empty), lists(group, length[p_doc], own, length),
+        lists(post[group], pos, none, empty), pa.ListArray.from_arrays(ints(np.concatenate((np.zeros(len(group), np.int64), own, [len(num)]))), ids),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["term", "block", "offs", "tfs", "lens", "places", "ids"])
+
+
+def posting_blocks(indexed: DataFrame, segment: int, parts: int) -> DataFrame:
+    """indexed (id, terms, len) -> (part, term, block, offs, tfs, lens, places, ids). Documents are numbered as a task meets
+    them; a block that a batch ends in has a row from the next batch too. places are the positions, posting by posting."""
     bits = BLOCK_BITS
+    kind = indexed.schema["id"].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("offs", "tfs", "lens", "places")], T.StructField("ids", T.ArrayType(kind))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield _batch_blocks(batch, bits)
+            if task >> (SEGMENT_BITS - ROW_BITS) or (seen + batch.num_rows) >> ROW_BITS:
+                raise ValueError("more documents than numbers: index in several upserts")
+            num = (segment << SEGMENT_BITS) + (task << ROW_BITS) + seen + np.arange(batch.num_rows)
+            seen += batch.num_rows
+            if batch.num_rows:
+                yield _batch_blocks(num, batch.column("id"), batch.column("len").to_numpy().astype(np.int64), batch.column("terms"), bits)
 
-    rows = forward.select("num", "len", "terms").mapInArrow(cut, BLOCKS.removeprefix("part int, "))
-    return rows.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"), "*")
+    rows = indexed.select("id", "len", "terms").mapInArrow(cut, schema)
+    part = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts)))
+    return rows.select(part.cast("int").alias("part"), "*")
 
 
 class TextIndex:
@@ -103,15 +120,20 @@ class TextIndex:
     def _paths(self, kind: str) -> list[str]:
         return [p for _, p in sorted(self.store.parts(kind).items(), key=lambda x: int(x[0]))]
 
-    def _read(self, table: str) -> DataFrame:
-        """The same table of all segments; each is a root of its own, as its folders name a column."""
-        paths = [f"{p}/{table}" for p in self._paths("segments")]
-        first = self.spark.read.schema(BLOCKS).parquet(paths[0]) if table == "postings" else self.spark.read.parquet(paths[0])
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(first.schema).parquet(p) for p in paths[1:]], first)
+    def _read(self) -> DataFrame:
+        """Posting rows of all segments; each is a root of its own, as its folders name a column."""
+        first = self.spark.read.parquet(self._paths("segments")[0])
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(first.schema).parquet(p) for p in self._paths("segments")[1:]], first)
+
+    def _documents(self) -> DataFrame:
+        """(num, id, len), replaced documents too."""
+        rows = self._read().where("part = -1")
+        each = rows.select("block", F.inline(F.arrays_zip("offs", "ids", "lens")))
+        return each.select((F.shiftleft("block", BLOCK_BITS) + F.col("offs")).alias("num"), F.col("ids").alias("id"), F.col("lens").alias("len"))
 
-    def forward(self) -> DataFrame:
-        """(num, id, terms, len) of the documents in force."""
-        return self._alive(self._read("forward"))
+    def documents(self) -> DataFrame:
+        """(num, id, len) of the documents in force."""
+        return self._alive(self._documents())
 
     def _gone(self) -> tuple[DataFrame | None, bool]:
         """Numbers of replaced documents, and whether they may be broadcast."""
@@ -129,7 +151,7 @@ class TextIndex:
         """(documents, mean length)."""
         state = (tuple(self._paths("segments")), tuple(self._paths("gone")))
         if self._known[0] != state:
-            n, mean = self.forward().select("num", "len").agg(F.count("*"), F.avg("len")).first()
+            n, mean = self.documents().agg(F.count("*"), F.avg("len")).first()
             self._known = (state, (n, mean or 0.0))
         return self._known[1]
 
@@ -138,7 +160,7 @@ class TextIndex:
 
     def _blocks(self, terms: DataFrame | None = None) -> DataFrame:
         """Posting blocks; of the folders of these terms only."""
-        rows = self._read("postings")
+        rows = self._read().where("part >= 0").drop("ids")
         if terms is None:
             return rows
         parts = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(self.parts)).alias("p")).distinct().collect()]  # PARTS rows at most
@@ -146,18 +168,19 @@ class TextIndex:
 
     # changes
 
-    def _write(self, forward: DataFrame, number: int) -> str:
+    def _write(self, rows: DataFrame) -> str:
+        """Posting rows as a segment: every task sorts its own, so nothing is shuffled."""
         folder = f"{self.store.folder}/segments/{uuid.uuid4().hex}"
-        numbered = forward.withColumn("num", F.lit(number << SEGMENT_BITS) + F.monotonically_increasing_id())
-        numbered.select("num", "id", "terms", "len").write.parquet(f"{folder}/forward")
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         was = self.spark.conf.get(key)
         self.spark.conf.set(key, str(min(int(was), BATCH_ROWS)))  # whole documents travel
         try:
-            blocks = posting_blocks(self.spark.read.parquet(f"{folder}/forward"), self.parts)
-            blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{folder}/postings")
+            rows.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(folder)
         finally:
             self.spark.conf.set(key, was)
+        fs, p = self.store._fs(folder)
+        if not any("=" in f.getPath().getName() for f in fs.listStatus(p)):  # folders of an empty segment would tell no columns
+            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(folder)
         return folder
 
     def _replaced(self, ids: DataFrame, known: DataFrame) -> str:
@@ -174,30 +197,51 @@ class TextIndex:
             if number >= 1 << (63 - SEGMENT_BITS):
                 raise ValueError("too many segments: merge() them")
             if segments:
-                gone = gone | {f"{1 + max(map(int, gone), default=-1)}": self._replaced(docs, self.forward())}
-            folder = self._write(index_terms(docs, self.id_col, self.cols), number)
+                gone = gone | {f"{1 + max(map(int, gone), default=-1)}": self._replaced(docs, self.documents())}
+            folder = self._write(posting_blocks(index_terms(docs, self.id_col, self.cols), number, self.parts))
             self.store.put({"segments": segments | {f"{number}": folder}, "gone": gone})
 
     def delete(self, ids: DataFrame) -> None:
         with self.store.transaction():
             gone = self.store.parts("gone")
             number = 1 + max(map(int, gone), default=-1)
-            self.store.put({"gone": gone | {f"{number}": self._replaced(ids, self.forward())}})
+            self.store.put({"gone": gone | {f"{number}": self._replaced(ids, self.documents())}})
 
     def merge(self) -> None:
-        """One segment of the documents in force: their terms are stored, so no text is read again."""
+        """One segment of the documents in force; they keep their numbers, and no text is read again."""
         with self.store.transaction():
-            number = (1 + max(map(int, self.store.parts("segments")), default=-1)) % (1 << (63 - SEGMENT_BITS))
-            folder = self._write(self.forward().drop("num"), number)
+            number = 1 + max(map(int, self.store.parts("segments")), default=-1)
+            rows = self._without(self._read()) if self.store.parts("gone") else self._read()
+            folder = self._write(rows.repartition(F.col("part"), F.pmod(F.xxhash64("term", "block"), F.lit(self.parts))))
             self.store.put({"segments": {f"{number}": folder}, "gone": {}})
 
+    def _without(self, rows: DataFrame) -> DataFrame:
+        """Posting rows (term, block, offs, lens and any of tfs, places, ids) without replaced documents."""
+        gone, small = self._gone()
+        if gone is None:
+            return rows
+        dead = gone.groupBy(F.shiftright("num", BLOCK_BITS).alias("block")).agg(F.collect_set((F.col("num") % (1 << BLOCK_BITS)).cast("int")).alias("dead"))  # a block's documents
+        rows = rows.join(F.broadcast(dead) if small else dead, "block", "left")
+        stay = F.transform("offs", lambda o: ~F.array_contains("dead", o))
+        kept = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), stay.alias("stay")), lambda x: x["stay"]), lambda x: x["x"])
+        changes = {c: F.when(F.col("dead").isNull() | (F.size(c) == 0), F.col(c)).otherwise(kept(c)) for c in ("offs", "lens", "tfs", "ids") if c in rows.columns}
+        if "places" in rows.columns:  # positions of posting i are the tfs[i] after those before it
+            ends = F.transform("tfs", lambda _, i: F.aggregate(F.slice("tfs", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+            own = F.flatten(F.transform(F.filter(F.arrays_zip(ends.alias("at"), F.col("tfs").alias("n"), stay.alias("stay")), lambda x: x["stay"]), lambda x: F.slice("places", x["at"] + 1, x["n"])))
+            changes["places"] = F.when(F.col("dead").isNull() | (F.size("places") == 0), F.col("places")).otherwise(own)
+        return rows.withColumns(changes).drop("dead").where("size(offs) > 0")
+
     # postings
 
-    def _postings(self, blocks: DataFrame, *fields: str) -> DataFrame:
-        """Rows of blocks, document by document, without the replaced ones."""
-        keep = [c for c in blocks.columns if c not in ("part", "n", "max_tf", "min_len", "offs", "tfs", "lens", "places")]
-        each = blocks.select(*keep, F.inline(F.arrays_zip(*[blocks[f].alias(f) for f in ("offs", *fields)])))
-        return self._alive(each.withColumn("num", F.shiftleft("block", BLOCK_BITS) + F.col("offs")).drop("offs"))
+    def _postings(self, blocks: DataFrame, places: bool = False) -> DataFrame:
+        """Rows of blocks, document by document (num, tf, len, and places if asked for), without the replaced ones."""
+        keep = [c for c in blocks.columns if c not in ("part", "block", "offs", "tfs", "lens", "places")]
+        arrays = [F.col("offs").alias("off"), F.col("tfs").alias("tf"), F.col("lens").alias("len")]
+        if places:
+            ends = F.transform("tfs", lambda _, i: F.aggregate(F.slice("tfs", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+            arrays.append(F.zip_with(ends, "tfs", lambda a, n: F.slice("places", a + 1, n)).alias("places"))
+        each = blocks.select(*keep, "block", F.inline(F.arrays_zip(*arrays)))
+        return self._alive(each.withColumn("num", F.shiftleft("block", BLOCK_BITS) + F.col("off")).drop("off", *["block"] * ("block" not in keep)))
 
     def _given(self, units: DataFrame, hint) -> DataFrame:
         """(query_id, unit, num, len, tf) of the units that are phrases or beginnings."""
@@ -211,8 +255,8 @@ class TextIndex:
 
     def beginnings(self, units: DataFrame, hint=F.broadcast) -> DataFrame:
         words = written(self._begun(units.select("query_id", "unit", F.col("terms")[0].alias("start")), hint).select("query_id", "unit", "term"), "beginnings")
-        found = self._postings(self._blocks(words).join(words, "term"), "tfs", "lens")
-        return found.groupBy("query_id", "unit", "num", F.col("lens").alias("len")).agg(F.sum("tfs").cast("long").alias("tf"))
+        found = self._postings(self._blocks(words).join(words, "term"))
+        return found.groupBy("query_id", "unit", "num", "len").agg(F.sum("tf").cast("long").alias("tf"))
 
     def phrases(self, units: DataFrame, hint=F.broadcast) -> DataFrame:
         """Occurrences by positions; the last term of a phrase that is a beginning stands for all terms that begin so."""
@@ -223,41 +267,34 @@ class TextIndex:
             words = words.unionByName(self._begun(open_.withColumnRenamed("term", "start"), hint).select("query_id", "unit", "m", "j", "term"))
         words = written(words, "phrase_words")
         blocks = self._blocks(words)
-        df = blocks.join(hint(words.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
+        df = blocks.join(hint(words.select("term").distinct()), "term").groupBy("term").agg(F.sum(F.size("offs")).alias("df"))
         by_place = words.join(df, "term", "left").groupBy("query_id", "unit", "m", "j").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
         rare = by_place.groupBy("query_id", "unit").agg(F.min_by("j", F.struct("df", "j")).alias("rare"), F.min("df").alias("least"), F.count("*").alias("there"), F.first("m").alias("m")).where("least > 0 and there = m")
         words = written(words.join(rare.select("query_id", "unit", "rare"), ["query_id", "unit"]), "phrase_terms")
-        spots = lambda df: df.select("query_id", "unit", "m", "j", "num", "lens", F.explode("places").alias("pos")).withColumn("start", F.col("pos") - F.col("j"))
-        first = spots(self._postings(blocks.join(hint(words.where("j = rare")), "term"), "lens", "places")).select("query_id", "unit", "m", "num", F.col("lens").alias("len"), "start")
+        spots = lambda df: df.select("query_id", "unit", "m", "j", "num", "len", F.explode("places").alias("pos")).withColumn("start", F.col("pos") - F.col("j"))
+        first = spots(self._postings(blocks.join(hint(words.where("j = rare")), "term"), True)).select("query_id", "unit", "m", "num", "len", "start")
         first = written(first.where("start >= 0"), "starts")
         held = first.select("query_id", "unit", F.shiftright("num", BLOCK_BITS).alias("block")).distinct()
         others = blocks.join(hint(words.where("j <> rare")), "term").join(held, ["query_id", "unit", "block"])
-        later = spots(self._postings(others, "lens", "places")).select("query_id", "unit", "num", "start", "j")
+        later = spots(self._postings(others, True)).select("query_id", "unit", "num", "start", "j")
         full = first.join(later, ["query_id", "unit", "num", "start"]).groupBy("query_id", "unit", "m", "num", "len", "start").agg(F.count_distinct("j").alias("got")).where("got = m - 1")
         return full.groupBy("query_id", "unit", "num", "len").agg(F.count("*").alias("tf"))
 
     # search
 
     def _ids(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self._read("forward").select("num", "id"), "num")
+        return rows.join(self._documents().select("num", "id"), "num")
 
     def unit_counts(self, units: DataFrame) -> DataFrame:
         """(query_id, unit, id, tf) of units that occur."""
         simple = units.where("size(terms) = 1 and not prefix").select("query_id", "unit", F.col("terms")[0].alias("term"))
-        one = self._postings(self._blocks(simple).join(F.broadcast(simple) if units.count() <= BROADCAST_UNITS else simple, "term"), "tfs").select("query_id", "unit", "num", F.col("tfs").cast("long").alias("tf"))
+        one = self._postings(self._blocks(simple).join(F.broadcast(simple) if units.count() <= BROADCAST_UNITS else simple, "term")).select("query_id", "unit", "num", F.col("tf").cast("long").alias("tf"))
         return self._ids(one.unionByName(self._given(units, lambda df: df).drop("len"))).select("query_id", "unit", "id", "tf")
 
     def _rows(self, simple: DataFrame, hint) -> DataFrame:
         """(term, block, offs, tfs, lens) of the terms, without replaced documents."""
         rows = self._blocks(simple).select("term", "block", "offs", "tfs", "lens").join(hint(simple.select("term").distinct()), "term")
-        gone, small = self._gone()
-        if gone is None:
-            return rows
-        dead = gone.groupBy(F.shiftright("num", BLOCK_BITS).alias("block")).agg(F.collect_set((F.col("num") % (1 << BLOCK_BITS)).cast("int")).alias("dead"))
-        rows = rows.join(F.broadcast(dead) if small else dead, "block", "left")
-        left = F.filter(F.arrays_zip("offs", "tfs", "lens"), lambda x: ~F.array_contains("dead", x["offs"]))
-        rows = rows.withColumn("left", F.when(F.col("dead").isNull(), F.arrays_zip("offs", "tfs", "lens")).otherwise(left)).where("size(left) > 0")
-        return rows.select("term", "block", *[F.col("left." + c).alias(c) for c in ("offs", "tfs", "lens")])
+        return self._without(rows).select("term", "block", "offs", "tfs", "lens")
 
     def top(self, units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """((query_id, id, score, position) of the k best documents by BM25, rounded to 6 decimals and ties by id;
@@ -311,7 +348,7 @@ class TextIndex:
         """Documents that can be among the k best get their ids; ties at the end are cut by id."""
         rank = F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))
         few = written(scored.select("query_id", "num", F.round("score", 6).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "few")
-        named = self._read("forward").select("num", "id").join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "num")
+        named = self._documents().select("num", "id").join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "num")
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return named.select("query_id", "id", "score", place.alias("position")).where(F.col("position") <= k)
 
