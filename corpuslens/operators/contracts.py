@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import short_id
-from ..functions.urls import api_path, path_pattern, segment_count
+from ..functions.urls import api_path
+from .templates import fitting_templates
 
 METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
 PARAMETER = "struct<name:string,location:string,required:boolean,type:string>"
@@ -191,16 +192,13 @@ def extract_calls(files: DataFrame, file_col: str = "file", code_col: str = "cod
 
 
 def match_endpoints(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """calls x endpoints whose path template fits. The number of segments and the first of them
-    (or a mark, where the template leaves it open) are the equi-key, the template's pattern
-    is residual; exact paths come first."""
-    first = lambda c: F.coalesce(F.get(F.split(F.regexp_replace(F.lower(api_path(c)), "/+$", ""), "/"), F.lit(1)), F.lit(""))
-    c = calls.withColumns({"_n": segment_count(F.col("path")), "_path": F.regexp_replace(api_path(F.col("path")), "/+$", ""), "_first": F.explode(F.array_distinct(F.array(first(F.col("path")), F.lit("*"))))})
-    open_ = first(F.col("e_path")).rlike(r"[{:]")
+    """calls x endpoints whose path template fits, over a trie of the templates; `exact` tells
+    the endpoints whose path is the call's own."""
+    plain = lambda c: F.lower(F.regexp_replace(api_path(c), "/+$", ""))
     e = endpoints.select(*[F.col(x).alias("e_" + x) for x in endpoints.columns])
-    e = e.withColumns({"_n": segment_count(F.col("e_path")), "_first": F.when(open_, "*").otherwise(first(F.col("e_path"))), "_pattern": path_pattern(F.col("e_path"))})
-    found = c.join(e, ["_n", "_first"]).drop("_first").where(F.regexp(F.col("_path"), F.col("_pattern")))
-    return found.withColumn("exact", F.lower("_path") == F.lower(F.regexp_replace(api_path(F.col("e_path")), "/+$", ""))).drop("_n", "_pattern", "_path")
+    fits = fitting_templates(calls.select("path"), endpoints.select(F.col("path").alias("template"))).select("path", F.col("template").alias("e_path"))
+    found = calls.join(fits, "path").join(e, "e_path")
+    return found.withColumn("exact", plain(F.col("path")) == plain(F.col("e_path")))
 
 
 def verify_calls(calls: DataFrame, endpoints: DataFrame, pitfalls: DataFrame | None = None, version: str | None = None) -> DataFrame:

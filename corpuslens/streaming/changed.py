@@ -1,0 +1,58 @@
+"""Rows of a stream whose content changed, by keyed state.
+
+Each key's state is the hash and time of its last row. A row with another hash and no
+earlier time goes on, everything else - repeats, and late rows of a state already
+overtaken - stops here, so the store writes what changed and nothing more. State of keys
+that were not seen for a while expires; the next row of such a key goes on again, which
+an upsert takes as it is.
+
+A key's rows of one batch are read in order of time, then hash, one Arrow batch at a time
+and none is kept, so what a task holds for a key is its state. Rows without a key or a
+time do not go on.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: Milliseconds after which an unseen key is forgotten.
+EXPIRY = 30 * 24 * 3_600_000
+#: State is kept in a store that does not need to fit in memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LastHash(StatefulProcessor):
+    def __init__(self, columns: list[str], expiry: int):
+        self.columns, self.expiry = columns, expiry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at timestamp, hash string", self.expiry)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for batch in rows:
+            at, known = self.last.get() if self.last.exists() else (None, None)
+            good = []
+            ordered = batch.sort_values(["_at", "_hash"], kind="stable")
+            for i, (now, h) in enumerate(zip(ordered["_at"], ordered["_hash"], strict=True)):
+                if at is None or (h != known and now >= pd.Timestamp(at)):
+                    good.append(i)
+                    at, known = now, h
+            if good:
+                self.last.update((at.to_pydatetime() if isinstance(at, pd.Timestamp) else at, known))
+                yield ordered.iloc[good][self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def changed_rows(stream: DataFrame, key: str, at: str, content: list[str], expiry: int = EXPIRY) -> DataFrame:
+    """Rows of a stream that change what `content` columns say of their key."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    said = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in content]), 256)
+    rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumns({"_key": F.col(key), "_at": F.col(at).cast("timestamp"), "_hash": said})
+    return rows.groupBy("_key").transformWithStateInPandas(_LastHash(stream.columns, expiry), stream.schema, "Append", "ProcessingTime")

@@ -1,0 +1,43 @@
+"""Keyed state: what reaches the store, and what the store holds in the end."""
+
+import random
+from datetime import datetime, timedelta
+
+from corpuslens.streaming.changed import changed_rows
+
+SCHEMA = "id long, at timestamp, text string, other int"
+
+
+def test_only_changes_go_on(spark, tmp_path):
+    """Three batches with repeats and late rows: each row that goes on changes its key, and the last of them is the newest."""
+    rng, start = random.Random(1), datetime(2024, 1, 1)
+    batches = [[(rng.randrange(12), start + timedelta(hours=24 * b + rng.randrange(30) - 3), rng.choice(["a", "b", None]), rng.randrange(5)) for _ in range(60)] for b in range(3)]
+    batches[1] += [(None, start, "x", 1), (3, None, "x", 1)]
+    batches[2] += batches[0][:20]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+    held, passed = {}, []
+    for rows in batches:
+        for i, at, text, _ in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1])):
+            pass
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = changed_rows(stream, "id", "at", ["text"])
+    seen = []
+
+    def sink(df, n):
+        seen.append([tuple(r) for r in df.collect()])
+
+    out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sum(map(len, seen)) < sum(map(len, batches)) and [len(s) for s in seen if s]
+    for rows in seen:
+        for i, at, text, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+            if i in held:
+                assert held[i][0] <= at
+            held[i] = (at, text)
+            passed.append(i)
+    newest = {}
+    for i, at, text, _ in (r for rows in batches for r in rows if r[0] is not None and r[1] is not None):
+        newest.setdefault(i, []).append((at, text))
+    for i, rows in newest.items():
+        top = max(at for at, _ in rows)
+        assert held[i][1] in {text for at, text in rows if at == top}
