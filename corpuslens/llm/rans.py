@@ -177,19 +177,21 @@ def read_documents(segments: DataFrame, wanted: DataFrame, id_col: str = "doc_id
     """(doc_id, n_tokens, ids) of the wanted documents, out of written segments: segments without
     any are not decoded, the others only where the documents lie. A null id is not looked up."""
     keys = ["part", "segment_no"]
-    lens = F.transform("doc_tokens", lambda x, i: F.struct(x.alias("n"), F.get("doc_ids", i).alias("doc_id"), i.alias("i")))
-    rows = segments.select(*keys, F.explode(lens).alias("d"), "doc_tokens").select(*keys, "d.*", F.aggregate(F.slice("doc_tokens", F.lit(1), F.col("d.i")), F.lit(0).cast("long"), lambda s, x: s + x).alias("at"))
+    places = segments.select(*keys, F.posexplode("doc_ids").alias("i", "doc_id"))  # ids alone: lengths are summed once for each segment
     ids = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    hits = rows.join(ids, "doc_id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "n"))).alias("spots"))  # at most a segment's documents
+    hits = places.join(ids, "doc_id").groupBy(*keys).agg(F.sort_array(F.collect_list("i")).alias("spots"))  # at most a segment's documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for spots, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [decode_range(data, s["at"], s["n"]).astype("<u4").tobytes() for s in spots]
-                arrays = [pa.array([s["doc_id"] for s in spots], pa.int64()), pa.array([s["n"] for s in spots], pa.int64()), pa.array(found, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids"])
-
-    return segments.select(*keys, "data").join(hits, keys).select("spots", "data").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+            for row in range(batch.num_rows):
+                spots, lens = (np.array(batch.column(c)[row].as_py(), np.int64) for c in ("spots", "doc_tokens"))
+                own = batch.column("doc_ids")[row].values.take(pa.array(spots))
+                data, before = batch.column("data")[row].as_py(), np.cumsum(lens) - lens
+                found = [decode_range(data, int(before[i]), int(lens[i])).astype("<u4").tobytes() for i in spots]
+                yield pa.RecordBatch.from_arrays([own, pa.array(lens[spots]), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    asked = segments.select(*keys, "doc_ids", "doc_tokens", "data").join(hits, keys)
+    return asked.select("spots", "doc_ids", "doc_tokens", "data").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def encode_corpus(

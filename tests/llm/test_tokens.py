@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import packing, rans, wordtok
 
@@ -121,3 +122,15 @@ def test_ranges_and_single_documents(spark):
     assert sorted((r.doc_id, r.n_tokens, bytes(r.ids)) for r in rans.read_documents(segments, wanted).collect()) == whole
     assert len(whole) == 4 and rans.read_documents(segments, wanted.limit(0)).count() == 0
     segments.unpersist()
+
+
+def test_read_from_a_segment_of_many(spark):
+    """Ten of 20,000 documents of one segment, with null ids among them; no row of the plan carries all lengths to every document."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 1000 != 5, F.col("id")).alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    segments = rans.encode_corpus(docs, partitions=1)
+    segments.cache()
+    wanted = spark.range(0, 20_000, 2_000).select(F.col("id").alias("doc_id"))
+    got = {r.doc_id: bytes(r.ids) for r in rans.read_documents(segments, wanted).collect()}
+    want = {r.doc_id: bytes(r.ids) for r in rans.decode_corpus(segments).join(wanted, "doc_id").collect()}
+    assert len(want) == 10 and got == want
+    segments.unpersist()
