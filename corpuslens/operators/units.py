@@ -167,9 +167,9 @@ class Weights:
 SLACK = 2e-6
 
 
-def best(q: np.ndarray, total: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Places of those that may be among the k best of their query: by total, and by rank where totals are the same."""
-    by = np.lexsort((rank, -total, q))
+def best(q: np.ndarray, total: np.ndarray, rank: np.ndarray | None, k: int) -> np.ndarray:
+    """Places of those that may be among the k best of their query: by total, and by rank, if there is one, where totals are the same."""
+    by = np.lexsort((-total, q) if rank is None else (rank, -total, q))
     q, total = q[by], total[by]
     new_q = np.concatenate(([True], q[1:] != q[:-1]))[: len(q)]
     new = new_q.copy()
@@ -179,4 +179,4 @@ def best(q: np.ndarray, total: np.ndarray, rank: np.ndarray, k: int) -> np.ndarr
     last = first + k - 1
     held = np.minimum(last, len(q) - 1)
     kth = np.where((last < len(q)) & (q[held] == q), total[held], -np.inf) if len(q) else total
-    return by[(total >= kth - SLACK) & (np.arange(len(q)) - start(new) < k)]
+    return by[(total >= kth - SLACK) & ((rank is None) | (np.arange(len(q)) - start(new) < k))]
