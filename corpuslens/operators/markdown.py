@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 MAX_TOKENS, TARGET_TOKENS = 1000, 500
+#: Rows that go back from Python at once.
+OUT_ROWS = 128
 DROPPED = frozenset("script style noscript svg iframe nav header footer template".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _SIDE = re.compile(r"(?:^|[\s_-])(?:sidebar|toc|menu|cookie)(?:$|[\s_-])", re.I)
@@ -174,13 +178,30 @@ def html_to_markdown(html: str | None, base: str = "") -> dict:
     return {"title": title, "markdown": text, "headings": m.headings, "links": m.links, "code": m.code}
 
 
+def row_by_row(run: Callable[..., Iterator[dict]], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a row's columns that gives rows. A batch stays in Arrow's buffers, its rows become objects one
+    at a time, and OUT_ROWS of what they give go back at once, however many rows a batch has."""
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held += run(*(c[i].as_py() for c in batch.columns))
+                if len(held) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=kind)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=kind)
+
+    return batch_by_batch
+
+
 def normalize_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"page_id": p} | html_to_markdown(h, u) for p, u, h in zip(b["page_id"], b["url"], b["html"])]
-            yield pd.DataFrame(rows, columns=["page_id", "title", "markdown", "headings", "links", "code"])
+    def run(page_id: str, url: str, html: str) -> Iterator[dict]:
+        yield {"page_id": page_id} | html_to_markdown(html, url)
 
-    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, PAGE_SCHEMA)
+    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(row_by_row(run, PAGE_SCHEMA), PAGE_SCHEMA)
 
 
 def blocks(markdown: str) -> list[tuple[str, str, str]]:
@@ -274,12 +295,10 @@ def slice_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, target: int = TA
     content_hash and the page's doc_version, if it has one."""
     keep = ["page_id", "title", "markdown"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"page_id": p} | c for p, t, m in zip(b["page_id"], b["title"], b["markdown"]) for c in slice_markdown(m, t, max_tokens, target)]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "part", "title", "section_path", "content", "chunk_type", "token_estimate", "code"])
+    def run(page_id: str, title: str, markdown: str) -> Iterator[dict]:
+        return ({"page_id": page_id} | c for c in slice_markdown(markdown, title, max_tokens, target))
 
-    chunks = pages.select(*keep).mapInPandas(run, CHUNK_SCHEMA)
+    chunks = pages.select(*keep).mapInArrow(row_by_row(run, CHUNK_SCHEMA), CHUNK_SCHEMA)
     if "doc_version" in pages.columns:
         chunks = chunks.join(pages.select("page_id", "doc_version"), "page_id", "left")
     from ..functions.text import content_hash, short_id
