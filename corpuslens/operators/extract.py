@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import LEFT, RIGHT, short_id
-from ..sources.scratch import spread
+from ..sources.scratch import spread, written
 
 #: Fixed values: (type, severity, pattern) looked for in every line.
 LINE_RULES = (
@@ -75,8 +75,10 @@ _HINT = r"(?i)instruction|system|you\s+are\s+now|tool|tell\s+the\s+user|curl|wge
 
 def security_annotations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, type, line, evidence, severity). Texts and lines that may hold something are
-    looked at by all rules, which are one array of structs, so nothing is joined."""
+    looked at by all rules, which are one array of structs, so nothing is joined. Texts that
+    may hold something are written once: all texts are read by one scan, not by one for each rule of blocks."""
     d = spread(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_HINT))
+    d = written(d, "hinted")
     lines = d.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(_HINT))
     rules = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(t).alias("type"), F.trim(F.regexp_extract("text", p, 0)).alias("evidence"), F.lit(s).alias("severity"))) for t, s, p in LINE_RULES])
     found = lines.select("id", F.col("line") + 1, F.explode(F.array_compact(rules)).alias("r")).toDF("id", "line", "r").select("id", "r.type", "line", "r.evidence", "r.severity")
