@@ -46,3 +46,17 @@ def test_phrases_are_counted_in_their_row(spark):
     assert sorted((r.unit, r.id, r.tf) for r in found.collect()) == sorted([(0, i, 1 if i % 5 else 2) for i in range(40)] + [(1, i, 1) for i in range(40)])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_beginnings_are_counted_in_their_row(spark):
+    found = index.unit_counts(frame(spark, [(i, "road roads roadside other") for i in range(40)]), units_of(spark, [["road"], ["roadside"]], 4))
+    assert sorted((r.query_id, r.id, r.tf) for r in found.collect()) == sorted([(0, i, 3) for i in range(40)] + [(1, i, 1) for i in range(40)])
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_keep_the_best_only(spark):
+    """Equal scores are cut by id in the tasks already; the ranking is that of all scores."""
+    idx, units = frame(spark, [(i, "a b" if i % 3 else "a c c c") for i in range(400)]), units_of(spark, [["a"], ["a", "c"]])
+    ranked = lambda df: sorted((r.query_id, r.position, r.id, r.score) for r in index.top_k(df.withColumn("score", F.round("score", 6)), 5).collect())
+    few = index.bm25(idx, units, 5)
+    assert ranked(few) == ranked(index.bm25(idx, units)) and few.count() <= 2 * 2 * 5 * few.rdd.getNumPartitions()
