@@ -70,7 +70,7 @@ def _index(spark, sf) -> DataFrame:
 
 def bm25_or(spark, sf):
     q = _queries(spark, sf)
-    best = index.top_k(index.bm25(_index(spark, sf), index.query_units(q, T.search_tokens(F.col("query")))).withColumn("score", F.round("score", 6)), 10)
+    best = index.top_k(index.bm25(_index(spark, sf), index.query_units(q, T.search_tokens(F.col("query"))), 10).withColumn("score", F.round("score", 6)), 10)
     return best.select("query_id", F.col("id").alias("doc_id"), "score", F.col("position").cast("long").alias("position"))
 
 
