@@ -8,6 +8,9 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of compressed files for each part of a table that is dealt out.
+DEALT_BYTES = 8_000_000
+
 
 @cache
 def _local() -> str:
@@ -38,7 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of fewer files than there are cores are dealt out by key before work that takes many
     times a scan's time (one file of one row group is one task, whatever the split size). Where
-    there are files enough, the scan is left as it is and nothing is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores, key) if 0 < files < cores else df
+    there are files enough, the scan is left as it is and nothing is shuffled. Parts hold about
+    DEALT_BYTES of the files, so that what a task sorts or holds does not grow with the table."""
+    context = df.sparkSession.sparkContext
+    cores, files = context.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    paths = [context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI.create(f)) for f in files]
+    size = sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(max(cores, -(-size // DEALT_BYTES)), key)

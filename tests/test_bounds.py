@@ -20,3 +20,16 @@ def test_texts_are_read_once_for_notes(spark, tmp_path):
     found = extract.security_annotations(spark.read.parquet(f"{tmp_path}/texts"), "id", "text")
     assert {(r.id, r.line) for r in found.collect()} == {(0, 2), (0, 3)}
     assert f"{tmp_path}/texts" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """One file of any size is dealt into parts of about the same size."""
+    from corpuslens.sources import scratch
+
+    folder = f"{tmp_path}/a table"
+    spark.range(50_000).coalesce(1).write.parquet(folder)
+    table = spark.read.parquet(folder)
+    assert scratch.spread(table, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(scratch, "DEALT_BYTES", 10_000)
+    dealt = scratch.spread(table, "id")
+    assert dealt.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and dealt.count() == 50_000
