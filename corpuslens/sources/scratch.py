@@ -27,14 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as Parquet, read back: what comes after reads it as often as it likes, and a lost executor
-    costs a re-read only. The folder goes when the session ends."""
+    costs a re-read only. The folder goes when the session ends. Of large rows a file should hold
+    few, `rows` at most: Spark's reader takes 4,096 rows of a file at once, whatever their size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuslens-{uuid.uuid4().hex}/{name}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder.getParent())
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows or 0).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
